@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.llm.boilerplate import main_body
 from loomtext.llm.group_top import top_n
 from loomtext.llm.rank_fusion import combined_order
 from loomtext.llm.results import latest_valid
@@ -54,6 +55,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return combined_order(table(spark, folder, "results"), top=3).select("query_id", "doc_id")
 
 
+@query
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return main_body(table(spark, folder, "pages")).select("page_id", "line_no")
+
+
 @query
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return most_distinctive(table(spark, folder, "postings")).select("doc_id", "term")
