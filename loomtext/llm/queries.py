@@ -11,6 +11,7 @@ from loomtext.llm.boilerplate import main_body
 from loomtext.llm.group_top import top_n
 from loomtext.llm.rank_fusion import combined_order
 from loomtext.llm.results import latest_valid
+from loomtext.llm.sentences import sentences
 from loomtext.llm.term_counts import TermCounts
 from loomtext.llm.term_weights import most_distinctive, term_weights
 
@@ -74,3 +75,8 @@ def p5_weights(spark: SparkSession, folder: str) -> DataFrame:
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     best = top_n(latest_valid(table(spark, folder, "results")), ["query_id", "scorer"], "score", "doc_id", 10)
     return best.select("query_id", "scorer", "doc_id")
+
+
+@query
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences(table(spark, folder, "documents"))
