@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.boilerplate import main_body
 from loomtext.llm.group_top import top_n
+from loomtext.llm.neighbours import similar_vectors
 from loomtext.llm.rank_fusion import combined_order
 from loomtext.llm.results import latest_valid
 from loomtext.llm.sentences import sentences
@@ -61,6 +62,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return main_body(table(spark, folder, "pages")).select("page_id", "line_no")
 
 
+@query
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    near = similar_vectors(table(spark, folder, "passages"), "passage_id", "embedding", dim=64, k=5, least=0.86)
+    pair = [F.least("item", "other").alias("passage_id_a"), F.greatest("item", "other").alias("passage_id_b")]
+    return near.select(*pair).distinct()
+
+
 @query
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return most_distinctive(table(spark, folder, "postings")).select("doc_id", "term")
