@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.boilerplate import main_body
 from loomtext.llm.group_top import top_n
+from loomtext.llm.leaks import leaked, without_leaks
 from loomtext.llm.neighbours import similar_vectors
 from loomtext.llm.rank_fusion import combined_order
 from loomtext.llm.results import latest_valid
@@ -85,6 +86,18 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("query_id", "scorer", "doc_id")
 
 
+@query
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+@query
+def p9_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """What stays of every document after leaked spans are cut out."""
+    documents = table(spark, folder, "documents")
+    return without_leaks(documents, leaked(documents, table(spark, folder, "eval_items")))
+
+
 @query
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(table(spark, folder, "documents"))
