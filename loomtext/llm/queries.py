@@ -11,9 +11,11 @@ from loomtext.llm.boilerplate import main_body
 from loomtext.llm.group_top import top_n
 from loomtext.llm.leaks import leaked, without_leaks
 from loomtext.llm.neighbours import similar_vectors
+from loomtext.llm.packing import containers
 from loomtext.llm.rank_fusion import combined_order
 from loomtext.llm.results import latest_valid
 from loomtext.llm.sentences import sentences
+from loomtext.llm.splitting import split_oversized
 from loomtext.llm.term_counts import TermCounts
 from loomtext.llm.term_weights import most_distinctive, term_weights
 
@@ -80,12 +82,33 @@ def p5_weights(spark: SparkSession, folder: str) -> DataFrame:
     return term_weights(table(spark, folder, "postings")).withColumn("weight", F.round("weight", 6))
 
 
+def _pieces(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:
+    documents = split_oversized(table(spark, folder, "documents"), "doc_id", "text", with_text=with_text)
+    passages = split_oversized(table(spark, folder, "passages"), "passage_id", "passage", with_text=with_text)
+    return documents.withColumn("kind", F.lit("document")).unionByName(passages.withColumn("kind", F.lit("passage")))
+
+
+@query
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder, with_text=False).where("piece_no = 0").select("kind", "item_id", "cut")
+
+
+@query
+def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder, with_text=True)
+
+
 @query
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     best = top_n(latest_valid(table(spark, folder, "results")), ["query_id", "scorer"], "score", "doc_id", 10)
     return best.select("query_id", "scorer", "doc_id")
 
 
+@query
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return containers(table(spark, folder, "documents"))
+
+
 @query
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id").distinct()

@@ -40,6 +40,14 @@ SQL: dict[str, str] = {
     "p5_weights": f"""
     with {_WEIGHTS}
     select doc_id, term, tf, df, length, round(weight, 6) as weight from weighted""",
+    "p6_found": r"""
+    with items as (
+      select 'document' as kind, doc_id as item_id, text from documents where length(text) > 2000 and doc_id is not null
+      union all select 'passage', passage_id, passage from passages where length(passage) > 2000 and passage_id is not null)
+    select kind, item_id,
+      case when len(list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}.!?。！？।؟]+'), lambda x: length(x) > 2000)) > 0
+        then 'forced' else 'boundary' end as cut
+    from items""",
     "p7_found": f"""
     with {_RESULTS}
     select query_id, scorer, doc_id from (
