@@ -36,17 +36,20 @@ def py_origin(url: str) -> str:
     return f"{parts.scheme}://{parts.netloc}"
 
 
-@F.pandas_udf("string")
-def canonical_url(urls: pd.Series) -> pd.Series:
+def canonical_url(url: Column | str) -> Column:
     """:func:`py_canonical_url` of a column; null where the value is null or no web address."""
 
-    def one(url: str | None) -> str | None:
+    def one(value: str | None) -> str | None:
         try:
-            return None if url is None else py_canonical_url(url)
+            return None if value is None else py_canonical_url(value)
         except ValueError:
             return None
 
-    return urls.map(one, na_action="ignore").astype(object).where(urls.notna(), None)
+    @F.pandas_udf("string")
+    def canonical(urls: pd.Series) -> pd.Series:
+        return pd.Series([one(u) for u in urls], dtype=object)
+
+    return canonical(url)
 
 
 def canonical_url_native(url: Column) -> Column:
@@ -107,10 +110,14 @@ def py_parse_html(text: str) -> tuple[str, str, list[str]]:
     return " ".join("".join(page.title).split()), " ".join(" ".join(page.pieces).split()), page.links
 
 
-@F.pandas_udf("title string, text string, links array<string>")
-def parse_html(pages: pd.Series) -> pd.DataFrame:
-    """:func:`py_parse_html` of a column; a null page has empty parts."""
-    return pd.DataFrame([py_parse_html(p or "") for p in pages], columns=["title", "text", "links"])
+def parse_html(html: Column | str) -> Column:
+    """:func:`py_parse_html` of a column, as a struct; a null page has empty parts."""
+
+    @F.pandas_udf("title string, text string, links array<string>")
+    def parsed(pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([py_parse_html(p or "") for p in pages], columns=["title", "text", "links"])
+
+    return parsed(html)
 
 
 def retry_after(value: str | None, now: float) -> float:

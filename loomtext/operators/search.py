@@ -153,10 +153,16 @@ def best(ranking: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
 
 
-def search(index: Index, query: Query | str, scorer: Scorer | None = None, k: int = 10, digits: int | None = None) -> DataFrame:
-    """``(rank, doc_id, score, title, path, snippet)`` of the ``k`` best matches; texts are touched for those only."""
+def _ranking(source: Index | DataFrame, query: Query, scorer: Scorer | None) -> DataFrame:
+    return rank(source, query, scorer) if isinstance(source, Index) else rank_documents(source, query, scorer)
+
+
+def search(source: Index | DataFrame, query: Query | str, scorer: Scorer | None = None, k: int = 10, digits: int | None = None) -> DataFrame:
+    """``(rank, doc_id, score, title, path, snippet)`` of the ``k`` best matches in an index, or in documents
+    ``(doc_id, path, title, text)`` that have none. Snippets are cut for those only."""
     query = _as_query(query)
-    return _shown(best(rank(index, query, scorer), k, digits), index.docs, query)
+    docs = source.docs if isinstance(source, Index) else source
+    return _shown(best(_ranking(source, query, scorer), k, digits), docs, query)
 
 
 def _shown(top: DataFrame, docs: DataFrame, query: Query) -> DataFrame:
@@ -165,11 +171,11 @@ def _shown(top: DataFrame, docs: DataFrame, query: Query) -> DataFrame:
     return with_snippets(rows, query.terms()).select("rank", "doc_id", "score", "title", "path", "snippet")
 
 
-def search_page(index: Index, query: Query | str, scorer: Scorer | None = None, k: int = 10, page: int = 1, digits: int | None = None) -> DataFrame:
+def search_page(source: Index | DataFrame, query: Query | str, scorer: Scorer | None = None, k: int = 10, page: int = 1, digits: int | None = None) -> DataFrame:
     """``(total, pages, rank, doc_id, score)``: one page of the ranking; a page past the end is one row with null ``doc_id``."""
     if type(page) is not int or page < 1 or check_k(k) < 1:
         raise ValueError("page and k must be at least 1")
-    ranking = rank(index, query, scorer)
+    ranking = _ranking(source, _as_query(query), scorer)
     total = ranking.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / F.lit(k)))
     rows = best(ranking, k * page, digits).where(F.col("rank") > k * (page - 1))
     return total.join(rows, F.lit(True), "left").select("total", "pages", "rank", "doc_id", "score")

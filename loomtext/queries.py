@@ -12,7 +12,8 @@ from loomtext.functions.text import tokens
 from loomtext.operators import index as ix
 from loomtext.operators import quality, scoring, search, semantic
 from loomtext.plans.query import parse, parse_left_to_right
-from loomtext.scratch import scratch_path, written
+from loomtext.scratch import scratch_path
+from loomtext.skew import spread
 from loomtext.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +37,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "path", "title", "text")
+    return spread(table(spark, folder, "documents").select("doc_id", "path", "title", "text"))
 
 
 def index(spark: SparkSession, folder: str) -> ix.Index:
@@ -213,7 +214,7 @@ def _search(spark, folder, scorer):
     docs = documents(spark, folder)
     top = search.best(search.rank_documents(docs, "buffer OR queue", scorer), 10, digits=6)
     shown = docs.join(F.broadcast(top), "doc_id")
-    return shown.select("rank", "doc_id", "score", F.expr("title"), "path")
+    return shown.select("rank", "doc_id", "score", "title", "path")
 
 
 @query(_top(_BM25).replace("title, path from top", "documents.title, documents.path from top").replace("join docs_ using", "join documents using"))
@@ -228,14 +229,14 @@ def search_tfidf(spark, folder):
 
 @query()
 def search_snippets(spark, folder):
-    return search.search(index(spark, folder).written(), 'buffer (queue OR thread) NOT "see the"', k=10, digits=6)
+    return search.search(documents(spark, folder), 'buffer (queue OR thread) NOT "see the"', k=10, digits=6)
 
 
 @query(f"""with {_DOCS}, ranked as (select doc_id, round(score, 6) as score from {_scores(_BM25, "'buffer', 'queue'")}),
     top as (select *, row_number() over (order by score desc, doc_id)::int as rank, count(*) over () as total from ranked)
     select total, ceil(total / 10)::bigint as pages, rank, doc_id, score from top where rank > 10 and rank <= 20""")
 def search_page(spark, folder):
-    return search.search_page(ix.build_index(documents(spark, folder), positions=False).written(), "buffer OR queue", k=10, page=2, digits=6)
+    return search.search_page(documents(spark, folder), "buffer OR queue", k=10, page=2, digits=6)
 
 
 _RUNS = r"""runs as (

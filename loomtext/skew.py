@@ -21,3 +21,12 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str) -
     hot = F.broadcast(ranked.where(is_hot).drop("_total"))
     cold = ranked.where(~is_hot).drop("_total")
     return rows.join(hot, keys).unionByName(rows.join(F.broadcast(ranked.where(is_hot).select(*keys)), keys, "left_anti").join(cold, keys))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` of a scan over at least as many partitions as there are cores, for work that costs much more than the read.
+
+    A large table has more than that and stays as it is; only tables of a few splits are dealt out again.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
