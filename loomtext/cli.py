@@ -36,7 +36,9 @@ def _search(args) -> None:
             print(row.doc_id, row.path)
         return
     semantic = SemanticIndex.load(spark, args.embeddings, index) if args.embeddings else None
-    rows = retrieve(index, args.query, TfIdf() if args.scorer == "tfidf" else BM25(), args.k, mode=args.mode, semantic=semantic, encoder=HashingEncoder())
+    first = semantic.passages.select("embedding").first() if semantic else None
+    encoder = HashingEncoder(len(first[0])) if first else HashingEncoder()
+    rows = retrieve(index, args.query, TfIdf() if args.scorer == "tfidf" else BM25(), args.k, mode=args.mode, semantic=semantic, encoder=encoder)
     if args.json:
         for line in rows.orderBy("rank").select("doc_id", "score", "title", "path", "snippet").toJSON().collect():
             print(line)
