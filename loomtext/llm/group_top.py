@@ -11,12 +11,13 @@ from loomtext.llm.results import sortable
 from loomtext.scratch import written
 from loomtext.skew import HOT
 
-#: A round tells 2**BITS intervals of a group's code apart, that is, it makes BITS bisections at once.
-BITS = 8
+#: A round tells 2**bits intervals of a group's code apart, that is, it makes so many bisections at once: the first one,
+#: over all rows, fewer than those over the few rows left.
+FIRST_BITS, BITS = 8, 12
 #: Parts over which the rows of a hot group are spread.
 SALTS = 32
 _SIGN = -(2**63)
-_MOST_ROUNDS = 2 * (64 // BITS + 1)
+_MOST_ROUNDS = 2 * (64 // BITS + 1) + 1
 
 
 def top_n(rows: DataFrame, by: list[str], score: str, item: str, n: int) -> DataFrame:
@@ -28,9 +29,9 @@ def top_n(rows: DataFrame, by: list[str], score: str, item: str, n: int) -> Data
 
     A row's code is its score as an order-preserving long followed by the complement of its item, so no two rows of a
     group are equal. All groups refine their cutoff together: a round takes each group's lowest and highest undecided
-    code, skips the bits they share and counts rows above each of the midpoints of the next :data:`BITS` bits. Rows
+    code, skips the bits they share and counts rows above each of the midpoints of the next bits. Rows
     above the interval that holds the cutoff are taken, those below dropped, and the rest goes on until every group holds
-    exactly ``n``: at most 18 rounds, three or four as a rule. No group is ever gathered or sorted: hot ones (at most
+    exactly ``n``: at most 13 rounds, three or four as a rule. No group is ever gathered or sorted: hot ones (at most
     :data:`~loomtext.skew.HOT` by count) are spread over :data:`SALTS` parts, of which only counts are merged.
     """
     if type(n) is not int or n < 1:
@@ -45,8 +46,8 @@ def top_n(rows: DataFrame, by: list[str], score: str, item: str, n: int) -> Data
         *keys, "item", "score", F.coalesce("salts", F.lit(1)).alias("salts"), F.lit(n).alias("need")
     )
     taken = []
-    for _ in range(_MOST_ROUNDS):
-        decided = written(_round(open_, keys), "top-round")
+    for nth in range(_MOST_ROUNDS):
+        decided = written(_round(open_, keys, BITS if nth else FIRST_BITS), "top-round")
         taken.append(decided.where("taken"))
         open_ = decided.where("not taken").drop("taken")
         if open_.isEmpty():
@@ -57,7 +58,7 @@ def top_n(rows: DataFrame, by: list[str], score: str, item: str, n: int) -> Data
     return whole.select(*(F.col(k).alias(c) for k, c in zip(keys, by)), F.col("item").alias(item), F.col("score").alias(score))
 
 
-def _round(open_: DataFrame, keys: list[str]) -> DataFrame:
+def _round(open_: DataFrame, keys: list[str], bits: int) -> DataFrame:
     """The rows taken in this round, and the undecided ones with the number still to take of their group."""
     place = [*keys, "salt"]
     rows = open_.withColumn("salt", F.pmod(F.xxhash64("item"), F.col("salts")).cast("int")).repartition(*place)
@@ -69,10 +70,10 @@ def _round(open_: DataFrame, keys: list[str]) -> DataFrame:
     on_high = F.col("min_high") < F.col("max_high")
     differ = F.when(on_high, F.col("min_high").bitwiseXOR(F.col("max_high"))).otherwise(F.col("min_low").bitwiseXOR(F.col("max_low")))
     width = F.length(F.bin(differ))
-    group = group.select(*keys, "n", "salts", "need", on_high.alias("on_high"), F.greatest(width - BITS, F.lit(0)).alias("shift"))
+    group = group.select(*keys, "n", "salts", "need", on_high.alias("on_high"), F.greatest(width - bits, F.lit(0)).alias("shift"))
     spread = lambda d: d.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     code = F.when(F.col("on_high"), F.col("high")).otherwise(F.col("low")).bitwiseXOR(F.lit(_SIGN))
-    interval = F.expr("shiftrightunsigned(code, shift)").bitwiseAND(F.lit(2**BITS - 1)).cast("int")
+    interval = F.expr("shiftrightunsigned(code, shift)").bitwiseAND(F.lit(2**bits - 1)).cast("int")
     placed = rows.drop("need").join(spread(group).hint("shuffle_hash"), place)
     placed = placed.withColumn("code", code).withColumn("interval", F.when(F.col("n") <= F.col("need"), F.lit(0)).otherwise(interval))
 
