@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.functions.vectors import bound
 from loomtext.scratch import written
 from loomtext.skew import join_per_key
 
@@ -94,8 +95,9 @@ def similar_vectors(
     v = F.col(vector)
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     usable = vectors.where(F.col(item).isNotNull() & v.isNotNull()).where((F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)))
-    rows = usable.select(F.col(item).cast("long").alias("item"), v.alias("v"), norm.alias("norm")).where("norm > 0 and norm < double('Infinity')")
-    rows = rows.select("item", F.transform("v", lambda x: (x / F.col("norm")).cast("float")).alias("v"))
+    # the norm is computed once a vector, not once a value
+    unit = bound(norm, lambda n: F.when((n > 0) & (n < float("inf")), F.transform(v, lambda x: (x / n).cast("float"))))
+    rows = usable.select(F.col(item).cast("long").alias("item"), unit.alias("v")).where("v is not null")
     rows = written(rows.select("item", "v", F.xxhash64("v").alias("h"), F.hash("v").alias("g")), "vectors").dropDuplicates(["item"])
 
     counted = rows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("item").alias("head"))
