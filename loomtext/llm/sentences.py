@@ -13,11 +13,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Titles before a name, as they are written (in lower case, ``ms`` and others are units or words).
+TITLES = ("Dr", "dr", "Prof", "prof", "Mr", "Mrs", "Ms", "St", "Gen", "Rev", "Hon", "Hr", "Fr", "Dipl", "Ing", "Mme", "Mlle", "MM", "Sr", "Sra", "Srta", "Dra", "Ud", "Uds")
 #: Abbreviations (without the last full stop) that stand before what they belong to.
 BEFORE = (
-    "dr", "prof", "mr", "mrs", "ms", "st", "gen", "rev", "hon", "cf", "e.g", "eg", "i.e", "viz", "vs", "approx", "esp",
-    "hr", "fr", "dipl", "ing", "bzw", "ca", "z.b", "z. b", "d.h", "d. h", "vgl", "sog", "ggf", "inkl", "evtl", "geb",
-    "mme", "mlle", "mm", "p. ex", "p.ex", "ex", "p. ej", "p.ej", "ej", "sr", "sra", "srta", "dra", "ud", "uds", "aprox",
+    "cf", "e.g", "eg", "i.e", "viz", "vs", "approx", "esp", "bzw", "ca", "z.b", "z. b", "d.h", "d. h", "vgl", "sog", "ggf", "inkl",
+    "evtl", "geb", "p. ex", "p.ex", "ex", "p. ej", "p.ej", "ej", "aprox",
     "проф", "акад", "див", "тис", "млн", "млрд", "ім", "вул", "напр", "просп", "смт", "м", "डॉ", "श्री", "कृ", "د", "أ",
 )
 #: Abbreviations that stand before a number.
@@ -44,6 +45,8 @@ _PARAGRAPH = re.compile(r"\S(?:.|\n(?![^\S\n]*\n))*")
 _FULL = set("。！？।॥؟۔")
 _OPENERS = re.compile(r"(?:[*_`~]+(?=\S)|[\"“„«‘「『《(（\[¿¡]\s*)*")
 _MARK = re.compile(r"(?:>\s*|[-*•–]\s+|\d+[.)]\s+)*")
+_INITIAL = re.compile(r"\w\.")
+_DOTTED = re.compile(r"[^\W\d_]\w+(?:\.\w{2,})+")
 _WORD = re.compile(r"[\w'’-]+")
 
 
@@ -58,14 +61,14 @@ def _trie(words: tuple[str, ...]) -> dict:
     return root
 
 
-_TRIES = tuple(_trie(w) for w in (BEFORE, BEFORE_NUMBER, AFTER))
+_TITLES, _TRIES = _trie(TITLES), tuple(_trie(w) for w in (BEFORE, BEFORE_NUMBER, AFTER))
 
 
-def _abbreviation(text: str, start: int, stop: int, trie: dict) -> bool:
+def _abbreviation(text: str, start: int, stop: int, trie: dict, cased: bool = False) -> bool:
     """Whether a word of the trie, as a whole word, ends at ``stop`` and begins at or after ``start``."""
     node, i = trie, stop - 1
     while i >= start:
-        node = node.get(text[i].lower())
+        node = node.get(text[i] if cased else text[i].lower())
         if node is None:
             return False
         if "" in node and (i == start or not (text[i - 1].isalnum() or text[i - 1] in ".’'_")):
@@ -112,7 +115,7 @@ def _pairs(events: list[tuple[int, int]], text: str) -> dict[int, int]:
 def _kind(text: str, end: int, at: int, stop: int) -> str:
     """What the text at ``at`` begins with: u(pper), l(ower), c(aseless letter), d(igit), -, other punctuation or nothing.
 
-    Opening marks are skipped, and list and quote marks where a line begins between ``end`` and ``at``.
+    A dotted name in lower case can begin a sentence and counts as upper. Opening marks are skipped, and list and quote marks where a line begins between ``end`` and ``at``.
     """
     i = _MARK.match(text, at, stop).end() if "\n" in text[end:at] else at
     i = _OPENERS.match(text, i, stop).end()
@@ -122,7 +125,7 @@ def _kind(text: str, end: int, at: int, stop: int) -> str:
     if c.isdigit():
         return "d"
     if c.isalpha():
-        return "l" if c.islower() else "u" if c.isupper() or c.istitle() else "c"
+        return ("u" if _DOTTED.match(text, i, stop) else "l") if c.islower() else "u" if c.isupper() or c.istitle() else "c"
     return "-" if c in "—–-" else "c" if c.isalnum() else "p"
 
 
@@ -158,13 +161,14 @@ def _stops(text: str, start: int, a: int, b: int, stop: int) -> bool:
             return False
         return True
     before, number, may = (_abbreviation(text, start, a, t) for t in _TRIES)
+    before = before or _abbreviation(text, start, a, _TITLES, cased=True)
     if may and kind != "l":
         return kind in "ud" and not (before and len(word) > 1)
     if before or may:
         return False
     if number and kind == "d":
         return False
-    if len(word) == 1 and word.isalpha() and (word.isupper() or word.islower()):
+    if len(word) == 1 and word.isalpha() and (word.isupper() or word.islower() and (kind in "ld" or _INITIAL.match(text, after))):
         return False
     return kind != "-" or text[after] == "-"
 
