@@ -7,17 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.postings import valid_postings
 from loomtext.scratch import written
-
-#: A term in at least 1/HOT of all rows is hot. As the rows of all terms add up to all rows, at most HOT terms are.
-HOT = 2000
-
-
-def _by_term(rows: DataFrame, frequency: DataFrame, total: int) -> DataFrame:
-    """``rows`` with ``df``. Hot terms, at most :data:`HOT` of them, are broadcast; the rest shuffle by term."""
-    hot = frequency.where(F.col("df") * HOT >= total)
-    often = rows.join(F.broadcast(hot), "term")
-    seldom = rows.join(F.broadcast(hot), "term", "left_anti").join(frequency.where(F.col("df") * HOT < total), "term")
-    return often.unionByName(seldom)
+from loomtext.skew import join_per_key
 
 
 def term_weights(postings: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -30,11 +20,11 @@ def term_weights(postings: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataF
     if not k1 > 0 or not 0 <= b <= 1:
         raise ValueError("k1 must be above 0 and b within 0 and 1")
     rows = written(valid_postings(postings), "weights-postings")
-    length = rows.groupBy("doc_id").agg(F.sum("tf").alias("length"))
+    length = written(rows.groupBy("doc_id").agg(F.sum("tf").alias("length"), F.count("*").alias("terms")), "weights-lengths")
     frequency = written(rows.groupBy("term").agg(F.count("*").alias("df")), "weights-frequency")
     whole = length.agg(F.count("*").alias("n"), F.avg("length").alias("average"))
-    total = rows.count()
-    parts = _by_term(rows, frequency, total).join(length, "doc_id").crossJoin(F.broadcast(whole))
+    # neither a term in most documents nor a document with most terms meets one task
+    parts = join_per_key(join_per_key(rows, frequency, ["term"], "df"), length, ["doc_id"], "terms").crossJoin(F.broadcast(whole))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturation = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average"))
     return parts.select("doc_id", "term", "tf", "df", "length", (idf * F.col("tf") * (k1 + 1) / saturation).alias("weight"))
