@@ -54,3 +54,38 @@ SQL: dict[str, str] = {
       select *, row_number() over (partition by query_id, scorer order by score desc, doc_id) as place from latest)
     where place <= 10""",
 }
+
+_WORDS = (
+    "coalesce(regexp_extract_all(replace(replace(replace(nfc_normalize(replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), 'ς', 'σ')), '’', ''''), 'ʼ', ''''), '‘', ''''), "
+    r"'[\p{L}\p{N}]+(?:''[\p{L}\p{N}]+)*'), [])"
+)
+
+
+def _runs(table: str, key: str) -> str:
+    """Every run of twelve words of a table's texts."""
+    return f"""(select distinct {key}, array_to_string(w[i + 1 : i + 12], ' ') as run
+      from (select {key}, w, unnest(range(greatest(len(w) - 11, 0))) as i from (select {key}, {_WORDS} as w from {table})))"""
+
+
+SQL["p2_found"] = f"""
+    with {_RESULTS},
+    bounds as (select query_id, scorer, s[greatest(1, ceil(0.05 * len(s)))::int] as low, s[greatest(1, ceil(0.95 * len(s)))::int] as high
+      from (select query_id, scorer, list_sort(list(score)) as s from latest group by all)),
+    grid as (select query_id, doc_id, scorer, coalesce(least(greatest(score, low), high), low, 0) as v
+      from (select distinct query_id, doc_id from latest) cross join (select distinct scorer from latest)
+      left join latest using (query_id, doc_id, scorer) left join bounds using (query_id, scorer)),
+    points as (select query_id, scorer, max(v) as best, min(v) as worst, sqrt(sum(v * v)) as norm from grid group by all),
+    parts as (select query_id, doc_id, sqrt(sum(case when best > worst then ((v - worst) / norm / ((best - worst) / norm)) ** 2 else 0 end)) as far,
+        sqrt(sum(case when best > worst then ((v - best) / norm / ((best - worst) / norm)) ** 2 else 0 end)) as near
+      from grid join points using (query_id, scorer) group by all)
+    select query_id, doc_id from (
+      select *, row_number() over (partition by query_id order by round(case when far + near > 0 then far / (far + near) else 0.5 end, 9) desc, doc_id) as place from parts)
+    where place <= 3"""
+SQL["p4_found"] = """
+    with valid as (select passage_id as id, list_transform(embedding, lambda x: x::double) as e from passages
+        where passage_id is not null and len(embedding) = 64 and not isnan(list_sum(list_transform(embedding, lambda x: x::double)))),
+    unit as (select id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as u from valid where list_dot_product(e, e) > 0),
+    near as (select a.id as a, b.id as b, round(list_dot_product(a.u, b.u), 6) as cosine from unit a join unit b on a.id <> b.id),
+    best as (select a, b, cosine, row_number() over (partition by a order by cosine desc, b) as place from near)
+    select distinct least(a, b) as passage_id_a, greatest(a, b) as passage_id_b from best where place <= 5 and cosine >= 0.86"""
+SQL["p9_found"] = f"select distinct doc_id, item_id from {_runs('documents', 'doc_id')} join {_runs('eval_items', 'item_id')} using (run)"
