@@ -14,11 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.functions.vectors import bound
+from loomtext.functions.vectors import bound, dot
 from loomtext.scratch import written
 from loomtext.skew import join_per_key
 
 _BLOCK = 256
+#: Vectors travel along the curves in bytes; their cosines are off by about 0.001, so what may be among the best is kept
+#: within this margin and compared exactly afterwards.
+MARGIN = 0.01
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -54,8 +57,23 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return np.asarray(arr.flatten(), dtype=np.float32).reshape(-1, dim)
 
 
+def _bytes(x: np.ndarray) -> pa.Array:
+    """Rows as binary values of one signed byte a number, each row scaled to its largest."""
+    q = np.rint(x * (127 / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-30))).astype(np.int8)
+    offsets = np.arange(0, q.size + 1, q.shape[1], dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(q), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(q))])
+
+
+def _from_bytes(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit rows of what :func:`_bytes` made."""
+    wide = pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    x = np.frombuffer(column.buffers()[2], np.int8)[offsets[0] : offsets[-1]].reshape(-1, dim).astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+
+
 def _best_in_window(ids: np.ndarray, vectors: np.ndarray, window: int, k: int, least: float, first: int, last: int):
-    """Rows ``(id, other, cosine)``: of rows first..last-1 the k best among the rows at most ``window`` away."""
+    """Rows ``(id, other, cosine)``: of rows first..last-1 at least the k best among the rows at most ``window`` away."""
     out_a, out_b, out_c = [], [], []
     for lo in range(first, last, _BLOCK):
         hi = min(lo + _BLOCK, last)
@@ -65,11 +83,10 @@ def _best_in_window(ids: np.ndarray, vectors: np.ndarray, window: int, k: int, l
         cos[(away > window) | (away == 0)] = -2
         if cos.shape[1] > k:
             cols = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            # what equals the k-th best may matter for ties by identifier
-            least_kept = np.take_along_axis(cos, cols, 1).min(axis=1, keepdims=True) - 1e-6
+            least_kept = np.take_along_axis(cos, cols, 1).min(axis=1, keepdims=True) - MARGIN
         else:
             least_kept = np.full((hi - lo, 1), -1.5)
-        rows, cols = np.nonzero((cos >= least_kept) & (cos >= least))
+        rows, cols = np.nonzero((cos >= least_kept) & (cos >= least - MARGIN) & (cos > -1.5))
         out_a.append(ids[lo:hi][rows])
         out_b.append(ids[a:b][cols])
         out_c.append(cos[rows, cols])
@@ -127,7 +144,7 @@ def similar_vectors(
 
 
 def _on_curves(head: DataFrame, dim: int, k: int, least: float, curves: int, window: int, axes: int, bits: int, seed: int) -> DataFrame:
-    """``(head, other, cosine)``: of every head at least its k best found on any curve, each once."""
+    """``(head, other, cosine)``: of every head at least its k best found on any curve, each once, with the exact cosine."""
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, ss = 0, np.zeros(dim), np.zeros(dim)
@@ -147,14 +164,16 @@ def _on_curves(head: DataFrame, dim: int, k: int, least: float, curves: int, win
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("v"), dim) - centre
+            x = _matrix(batch.column("v"), dim)
+            packed = _bytes(x)
+            x = x - centre
             for curve in range(curves):
                 # three standard deviations either way, and a shift of up to a quarter of that range
                 z = ((x @ bases[curve]) / (6 * width) + 0.5 + 0.25 * shifts[curve]) / 1.25
                 cells = np.clip(z * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), curve, dtype=np.int32)), pa.array(hilbert_keys(cells, bits)), batch.column("head"), batch.column("v")],
-                    names=["curve", "key", "head", "v"],
+                    [pa.array(np.full(len(x), curve, dtype=np.int32)), pa.array(hilbert_keys(cells, bits)), batch.column("head"), packed],
+                    names=["curve", "key", "head", "packed"],
                 )
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +186,7 @@ def _on_curves(head: DataFrame, dim: int, k: int, least: float, curves: int, win
 
         for batch in batches:
             new_on = np.asarray(batch.column("curve"))
-            new_ids, new_vecs = np.asarray(batch.column("head")), _matrix(batch.column("v"), dim)
+            new_ids, new_vecs = np.asarray(batch.column("head")), _from_bytes(batch.column("packed"), dim)
             for curve in np.unique(new_on):
                 here = new_on == curve
                 if len(on) and on[-1] != curve:
@@ -183,8 +202,14 @@ def _on_curves(head: DataFrame, dim: int, k: int, least: float, curves: int, win
         if done < len(ids):
             yield flush(len(ids))
 
-    schema = "curve int, key long, head long, v array<float>"
+    schema = "curve int, key long, head long, packed binary"
     ordered = head.mapInArrow(keyed, schema).repartitionByRange("curve", "key").sortWithinPartitions("curve", "key", "head")
     pairs = ordered.mapInArrow(compared, "head long, other long, cosine double")
-    once = pairs.groupBy("head", "other").agg(F.max("cosine").alias("cosine"))
-    return written(once, "vector-pairs")
+    near = written(pairs.groupBy("head", "other").agg(F.max("cosine").alias("cosine")), "vector-near")
+    # bounded by the curves times k and what is within the margin
+    cut = near.groupBy("head").agg(F.sort_array(F.collect_list("cosine"), asc=False).alias("all"))
+    cut = cut.select("head", F.coalesce(F.try_element_at("all", F.lit(k)), F.lit(-2.0)).alias("kth"))
+    kept = near.join(cut, "head").where(F.col("cosine") >= F.col("kth") - MARGIN).select("head", "other")
+    one, two = head.select("head", F.col("v").alias("a")), head.select(F.col("head").alias("other"), F.col("v").alias("b"))
+    exact = kept.join(one, "head").join(two, "other").select("head", "other", F.round(dot(F.col("a"), F.col("b")), 6).alias("cosine"))
+    return written(exact.where(F.col("cosine") >= least), "vector-pairs")
