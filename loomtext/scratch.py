@@ -21,9 +21,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/loomtext-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under :func:`scratch_dir`."""
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's folder under :func:`scratch_dir`."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all written tables of this application. Results that still read them must have been stored before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

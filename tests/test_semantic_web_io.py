@@ -164,6 +164,15 @@ def test_store(spark, tiny, tiny_index, tmp_path):
         store.load(spark, path)
 
 
+def test_scratch(spark, tiny):
+    from loomtext.scratch import clear_scratch, scratch_dir, scratch_path, written
+
+    once = written(tiny, "t")
+    assert once.count() == 4 and once.schema.simpleString() == tiny.schema.simpleString()
+    assert once.inputFiles()[0].split("//")[-1].lstrip("/").startswith(scratch_dir(spark).split("//")[-1].lstrip("/"))
+    assert scratch_path(spark, "a") != scratch_path(spark, "a") and callable(clear_scratch)
+
+
 def test_streaming_equals_batch(spark, tmp_path):
     pages = [(f"https://e.com/{i}", f"t{i}", f"word{i % 3} common", "2026-01-01T00:00:00Z") for i in range(12)]
     (tmp_path / "in").mkdir()
