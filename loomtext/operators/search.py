@@ -162,11 +162,11 @@ def search(source: Index | DataFrame, query: Query | str, scorer: Scorer | None
     ``(doc_id, path, title, text)`` that have none. Snippets are cut for those only."""
     query = _as_query(query)
     docs = source.docs if isinstance(source, Index) else source
-    return _shown(best(_ranking(source, query, scorer), k, digits), docs, query)
+    return shown(best(_ranking(source, query, scorer), k, digits), docs, query)
 
 
-def _shown(top: DataFrame, docs: DataFrame, query: Query) -> DataFrame:
-    # at most k rows, so the broadcast has a proven bound
+def shown(top: DataFrame, docs: DataFrame, query: Query) -> DataFrame:
+    """``top`` with title, path and snippet; it has at most k rows, so its broadcast has a proven bound."""
     rows = docs.select("doc_id", "title", "path", "text").join(F.broadcast(top), "doc_id")
     return with_snippets(rows, query.terms()).select("rank", "doc_id", "score", "title", "path", "snippet")
 
