@@ -29,8 +29,12 @@ def test_tokens(spark):
     assert got[99] == []
 
 
+# letters of scripts younger than the Java version's Unicode are no letters to it; those of Unicode 3.2 are known to both
+KNOWN = [c for c in map(chr, range(32, 0x3000)) if unicodedata.ucd_3_2_0.category(c) not in ("Cn", "Cs", "Co")]
+
+
 @settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.text(alphabet=st.characters(min_codepoint=32, max_codepoint=0x2FFF, exclude_categories=["Cs", "Cn", "Co"]), max_size=30), min_size=1, max_size=40))
+@given(st.lists(st.text(alphabet=st.sampled_from(KNOWN), max_size=30), min_size=1, max_size=40))
 def test_jvm_and_python_agree(spark, values):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, text string")
     for r in rows.select("text", normal_form(F.col("text")).alias("n"), tokens(F.col("text")).alias("t")).collect():
