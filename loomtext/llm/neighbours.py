@@ -2,7 +2,8 @@
 
 Each of several curves projects all vectors at random onto a few dimensions, shifts the grid and orders them by their
 Hilbert key. Spark range-partitions each ordering; within it every vector is compared exactly with those at most
-``window`` places away, and the best of all curves are merged. Copies of a vector are one point of the curves.
+``window`` places away, and the best of all curves are merged. Copies of a vector are one point of the curves. Vectors
+that share a key have no order on the curve, so runs of one key too long for the window are compared exactly, in blocks.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ _BLOCK = 256
 #: Vectors travel along the curves in bytes; their cosines are off by about 0.001, so what may be among the best is kept
 #: within this margin and compared exactly afterwards.
 MARGIN = 0.01
+#: Rows of a block of a run of equal keys; each pair of blocks is one group of Spark's.
+_RUN_BLOCK = 8192
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -93,6 +96,75 @@ def _best_in_window(ids: np.ndarray, vectors: np.ndarray, window: int, k: int, l
     return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_c)
 
 
+class _LongRuns:
+    """Of rows in order of curve and key, those in runs of one curve and key of more than ``most`` rows."""
+
+    def __init__(self, most: int):
+        self.most, self.at, self.n, self.ids = most, None, 0, []
+
+    def of(self, on: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Curves, keys and ids of the rows now known to be in such runs; only the start of the last run is held back."""
+        starts = np.concatenate([[0], np.flatnonzero((on[1:] != on[:-1]) | (keys[1:] != keys[:-1])) + 1])
+        sizes = np.diff(np.concatenate([starts, [len(ids)]]))
+        out = []
+        for start, size in zip(starts[sizes > self.most], sizes[sizes > self.most]):
+            if 0 < start < starts[-1]:
+                out.append((on[start], keys[start], ids[start : start + size]))
+        for start, size in dict.fromkeys([(starts[0], sizes[0]), (starts[-1], sizes[-1])]):
+            if self.at != (on[start], keys[start]):
+                self.at, self.n, self.ids = (on[start], keys[start]), 0, []
+            self.n += size
+            self.ids.append(ids[start : start + size])
+            if self.n > self.most:
+                out.append((*self.at, np.concatenate(self.ids)))
+                self.ids = []
+        sizes = [len(x[2]) for x in out]
+        return np.repeat([x[0] for x in out], sizes), np.repeat([x[1] for x in out], sizes), np.concatenate([np.empty(0, np.int64), *(x[2] for x in out)])
+
+
+def _best_in_block(ids: np.ndarray, vectors: np.ndarray, other_ids: np.ndarray, others: np.ndarray, k: int, least: float):
+    """Rows ``(id, other)``: of each of ``ids`` the k best of ``other_ids``, itself left out, equal cosines by smaller id."""
+    order = np.argsort(other_ids)
+    other_ids, others = other_ids[order], others[order].astype(np.float64).T
+    place = np.arange(len(other_ids))
+    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for lo in range(0, len(ids), _BLOCK):
+        some = ids[lo : lo + _BLOCK]
+        cos = np.rint((vectors[lo : lo + _BLOCK].astype(np.float64) @ others) * 1e6).astype(np.int64)
+        own = some[:, None] == other_ids[None, :]
+        ranks = np.where(own, np.int64(2**62), place - cos * len(other_ids))
+        cols = np.argpartition(ranks, k - 1, axis=1)[:, :k] if len(other_ids) > k else np.broadcast_to(place, ranks.shape)
+        fits = ~np.take_along_axis(own, cols, 1) & (np.take_along_axis(cos, cols, 1) >= least * 1e6 - 1)
+        out_a.append(some[np.nonzero(fits)[0]])
+        out_b.append(other_ids[cols[fits]])
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _in_runs(runs: DataFrame, head: DataFrame, dim: int, k: int, least: float) -> DataFrame:
+    """``(head, other)``: of every row of each run ``(curve, key, head)`` its k best of that run, and further ones of it.
+
+    Work grows with the square of a run, spread over pairs of blocks. Runs of the same heads on several curves count once.
+    """
+    same = runs.groupBy("curve", "key").agg(F.count("*").alias("n"), F.min("head").alias("first"), F.bit_xor(F.xxhash64("head")).alias("sum"))
+    once = same.groupBy("n", "first", "sum").agg(F.min(F.struct("curve", "key")).alias("at")).select("at.curve", "at.key", "n")
+    rows = join_per_key(runs, written(once, "vector-runs"), ["curve", "key"], "n").join(head, "head")
+    blocks = F.ceil(F.col("n") / _RUN_BLOCK)
+    own = rows.select("curve", "key", "head", "v", F.pmod(F.xxhash64("head"), blocks).alias("b"), blocks.alias("blocks"))
+    pairs = own.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = pairs.withColumns({"i": F.least("b", "x"), "j": F.greatest("b", "x")}).select("curve", "key", "i", "j", "b", "head", "v")
+
+    def best(group: pa.Table) -> pa.Table:
+        ids, b, i, j = (group.column(c).to_numpy() for c in ("head", "b", "i", "j"))
+        x = _matrix(group.column("v"), dim)
+        one, two = b == i, b == j
+        found = [_best_in_block(ids[one], x[one], ids[two], x[two], k, least)]
+        if i[0] != j[0]:
+            found.append(_best_in_block(ids[two], x[two], ids[one], x[one], k, least))
+        return pa.table({"head": np.concatenate([f[0] for f in found]), "other": np.concatenate([f[1] for f in found])})
+
+    return pairs.groupBy("curve", "key", "i", "j").applyInArrow(best, "head long, other long")
+
+
 def similar_vectors(
     vectors: DataFrame, item: str, vector: str, dim: int, k: int = 5, least: float = -1.0,
     curves: int = 16, window: int = 64, axes: int = 12, bits: int = 4, seed: int = 7,
@@ -106,6 +178,7 @@ def similar_vectors(
 
     The search is approximate: ``curves`` and ``window`` trade recall for time, which grows with rows times both. Nothing
     is sampled: every vector is on every curve. Pairs across the border of two range partitions are missed on that curve.
+    Vectors with the same key on some curve, such as near copies or scaled ones, are all compared, however many they are.
     """
     if axes * bits > 63 or axes > dim:
         raise ValueError("axes * bits must be at most 63 and axes at most dim")
@@ -179,14 +252,24 @@ def _on_curves(head: DataFrame, dim: int, k: int, least: float, curves: int, win
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in order of curve and key; a row is compared once the ``window`` rows after it are there."""
         ids, vecs, on, done = np.empty(0, np.int64), np.empty((0, dim), np.float32), np.empty(0, np.int32), 0
+        long_runs = _LongRuns(window + 1)
 
         def flush(upto: int):
             a, b, c = _best_in_window(ids, vecs, window, k, least, done, upto)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.round(c.astype(np.float64), 6))], names=["head", "other", "cosine"])
+            return rows(head=a, other=b, cosine=np.round(c.astype(np.float64), 6))
+
+        def rows(**columns: np.ndarray) -> pa.RecordBatch:
+            n = len(columns["head"])
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in out], schema=out)
 
         for batch in batches:
+            if not len(batch):
+                continue
             new_on = np.asarray(batch.column("curve"))
             new_ids, new_vecs = np.asarray(batch.column("head")), _from_bytes(batch.column("packed"), dim)
+            run_on, run_keys, run_ids = long_runs.of(new_on, np.asarray(batch.column("key")), new_ids)
+            if len(run_ids):
+                yield rows(curve=run_on, key=run_keys, head=run_ids)
             for curve in np.unique(new_on):
                 here = new_on == curve
                 if len(on) and on[-1] != curve:
@@ -202,14 +285,20 @@ def _on_curves(head: DataFrame, dim: int, k: int, least: float, curves: int, win
         if done < len(ids):
             yield flush(len(ids))
 
+    out = pa.schema([("head", pa.int64()), ("other", pa.int64()), ("cosine", pa.float64()), ("curve", pa.int32()), ("key", pa.int64())])
     schema = "curve int, key long, head long, packed binary"
     ordered = head.mapInArrow(keyed, schema).repartitionByRange("curve", "key").sortWithinPartitions("curve", "key", "head")
-    pairs = ordered.mapInArrow(compared, "head long, other long, cosine double")
-    near = written(pairs.groupBy("head", "other").agg(F.max("cosine").alias("cosine")), "vector-near")
+    # rows of long runs have a curve and key and no other
+    pairs = ordered.mapInArrow(compared, "head long, other long, cosine double, curve int, key long")
+    both = written(pairs.groupBy("head", "other", "curve", "key").agg(F.max("cosine").alias("cosine")), "vector-near")
+    near = both.where("other is not null").select("head", "other", "cosine")
     # bounded by the curves times k and what is within the margin
     cut = near.groupBy("head").agg(F.sort_array(F.collect_list("cosine"), asc=False).alias("all"))
     cut = cut.select("head", F.coalesce(F.try_element_at("all", F.lit(k)), F.lit(-2.0)).alias("kth"))
     kept = near.join(cut, "head").where(F.col("cosine") >= F.col("kth") - MARGIN).select("head", "other")
+    runs = both.where("other is null").select("curve", "key", "head")
+    if not runs.isEmpty():
+        kept = kept.union(_in_runs(runs, head, dim, k, least)).distinct()
     one, two = head.select("head", F.col("v").alias("a")), head.select(F.col("head").alias("other"), F.col("v").alias("b"))
     exact = kept.join(one, "head").join(two, "other").select("head", "other", F.round(dot(F.col("a"), F.col("b")), 6).alias("cosine"))
     return written(exact.where(F.col("cosine") >= least), "vector-pairs")

@@ -60,3 +60,20 @@ def test_edges(spark):
     assert [(r.item, r.other, r.cosine) for r in similar_vectors(two, "id", "vec", dim=16).orderBy("item").collect()] == [(1, 2, -1.0), (2, 1, -1.0)]
     with pytest.raises(ValueError):
         similar_vectors(two, "id", "vec", dim=16, axes=20)
+
+
+def test_more_equal_keys_than_the_window(spark):
+    rng = np.random.default_rng(5)
+    one = rng.standard_normal(16).astype(np.float32)
+    scaled = one * rng.uniform(0.2, 5, (150, 1)).astype(np.float32)
+    near = rng.standard_normal(16) + 1e-4 * rng.standard_normal((150, 16))
+    x = np.concatenate([scaled, near, rng.standard_normal((100, 16))]).astype(np.float32)
+    ids = rng.permutation(1000)[: len(x)].tolist()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id long, vec array<float>")
+    got = {}
+    for r in similar_vectors(df, "id", "vec", dim=16, k=5, least=0.86, curves=4, window=16, axes=8, bits=4).collect():
+        got.setdefault(r.item, {})[r.place] = r.other
+    expected = brute(ids, x.astype(np.float64), 5, 0.86)
+    hot = ids[:300]
+    right = sum([got.get(i, {}).get(p) for p in range(1, 6)] == expected[i] for i in hot)
+    assert right >= 0.99 * len(hot)
