@@ -87,11 +87,12 @@ def density(chars: float, tags: float, link_chars: float, link_tags: float, body
     return chars / tags * math.log(chars / lc * tags / lt) / base
 
 
-def main_lines(lines: list[str], linked: list[bool], keep: float = 0.02) -> list[int]:
+def main_lines(lines: list[str], linked: list[bool]) -> list[int]:
     """Numbers of the lines of the main body.
 
-    Densities are computed for lines, runs and body; the subtree whose children's densities add up to most is chosen, and
-    of it every line is kept whose density is at least ``keep`` times the least density on the path from it to the body.
+    Densities are computed for lines and runs; the subtree whose children's densities add up to most is chosen, and
+    every line of it that isn't linked is kept: a line is linked as a whole or not at all, and a plain one of any length
+    is text, so no threshold on its density applies.
     """
     leaves = [(i, float(len(x))) for i, x in enumerate(lines) if x]
     chars = sum(c for _, c in leaves)
@@ -107,12 +108,9 @@ def main_lines(lines: list[str], linked: list[bool], keep: float = 0.02) -> list
         runs[-1].append(i)
     size = lambda run: sum(len(lines[i]) for i in run)
     of_run = [density(size(r), len(r), size(r) if linked[r[0]] else 0, len(r) if linked[r[0]] else 0, share) for r in runs]
-    links = sum(linked[i] for i, _ in leaves)
-    body = density(chars, len(leaves), in_links, links, share)
     best = max(range(len(runs)), key=lambda k: sum(leaf[i] for i in runs[k]))
     whole = sum(of_run) >= sum(leaf[i] for i in runs[best]) or sum(d > 0 for d in of_run) > 1
-    chosen, least = (leaf, body) if whole else (runs[best], min(body, of_run[best]))
-    return sorted(i for i in chosen if leaf[i] > 0 and leaf[i] >= keep * least)
+    return sorted(i for i in (leaf if whole else runs[best]) if not linked[i])
 
 
 def _site(url: Column) -> Column:
@@ -160,7 +158,7 @@ def template_lines(pages: DataFrame, share: float = 0.2, least_pages: int = 8) -
     return sites.join(marked, "site", "left").select("site", "n", F.coalesce("template", F.array().cast("array<bigint>")).alias("template"))
 
 
-def main_body(pages: DataFrame, keep: float = 0.02, share: float = 0.2) -> DataFrame:
+def main_body(pages: DataFrame, share: float = 0.2) -> DataFrame:
     """``(page_id, line_no, line)``: of every page the lines of its main body, counted from 0, blank ones left out.
 
     ``pages`` has ``page_id``, ``url``, ``title`` and ``text``; other columns are ignored. Null and blank texts and pages
@@ -181,7 +179,7 @@ def main_body(pages: DataFrame, keep: float = 0.02, share: float = 0.2) -> DataF
             for page, title, text, name, template in zip(pdf.page_id, pdf.title, pdf.text, pdf.site, pdf.template):
                 raw = text.split("\n")
                 bare = [x.strip() for x in raw]
-                rows += [(page, i, bare[i]) for i in main_lines(bare, linked_lines(bare, list(template), title, name), keep)]
+                rows += [(page, i, bare[i]) for i in main_lines(bare, linked_lines(bare, list(template), title, name))]
             yield pd.DataFrame(rows, columns=["page_id", "line_no", "line"])
 
     return ready.mapInPandas(bodies, "page_id long, line_no int, line string")

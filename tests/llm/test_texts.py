@@ -225,3 +225,9 @@ def test_density():
     lines = ["A plain line.", "", "Menu"]
     assert main_lines(lines, [False, True, True]) == [0] and main_lines(["x"], [True]) == []
     assert linked_lines(["#a #b", "Tags", "Other title", "A sentence."], [False] * 4, None, "") == [True, True, True, False]
+
+
+def test_short_lines_beside_long_paragraphs_are_kept():
+    lines = ["A paragraph. " * 60] * 12 + ["[4, 83]", "Not yet.", "x", "Home"]
+    assert main_lines(lines[:-1], [False] * 15) == list(range(15))
+    assert main_lines(lines, [False] * 15 + [True]) == list(range(15))
