@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,37 +14,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.neighbours import hilbert_keys
+from loomtext.scratch import written
 
 #: Where the ranks of the public tokenizer are, and the fixed pattern that splits text before its merges.
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Items that are packed at once, largest first, and containers that stay open for the next ones.
-WINDOW, OPEN = 4096, 256
+#: Items not yet placed among which the next one of a container is looked for; they follow each other on the curve.
+LOOK = 256
 _BUCKETS, _AXES, _BITS = 256, 6, 10
 
 
 class Packer:
-    """Best fit of the largest first, a window of items at a time; the fullest of too many open containers are closed."""
+    """Packs a stream of items in its order, with a look-ahead of :data:`LOOK` items.
 
-    def __init__(self, capacity: int):
-        self.capacity, self.made = capacity, 0
-        self.open: list[tuple[int, int]] = []  # (free, container), ascending
+    A container begins with the first item that waits and takes the ones after it in order while they fit; when the next
+    does not, the largest waiting item that does, of equal ones the first. It closes when none fits. So most of a
+    container are items that follow each other, and none is more than the look-ahead away.
+    """
+
+    def __init__(self, capacity: int, look: int = LOOK):
+        self.capacity, self.most, self.made, self.free = capacity, look, 0, 0
+        self.sizes: list[tuple[int, int]] = []  # (size, -number) of the items that wait, ascending
+        self.order: deque[int] = deque()
+        self.waiting: dict[int, tuple[int, object]] = {}
+        self.seen = 0
 
     def new(self) -> int:
         self.made += 1
         return self.made - 1
 
-    def put(self, sizes: list[int]) -> list[int]:
-        """Containers of the items, in their order."""
-        out = [0] * len(sizes)
-        for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-            at = bisect_left(self.open, (sizes[i], -1))
-            free, box = self.open.pop(at) if at < len(self.open) else (self.capacity, self.new())
-            out[i] = box
-            if free > sizes[i]:
-                insort(self.open, (free - sizes[i], box))
-        del self.open[: max(0, len(self.open) - OPEN)]
-        return out
+    def put(self, size: int, item: object) -> list[tuple[int, object]]:
+        """Let an item wait; ``(container, item)`` of those placed now."""
+        self.waiting[self.seen] = (size, item)
+        insort(self.sizes, (size, -self.seen))
+        self.order.append(self.seen)
+        self.seen += 1
+        return [self._place()] if len(self.waiting) >= self.most else []
+
+    def rest(self) -> list[tuple[int, object]]:
+        """The places of all items that still wait."""
+        return [self._place() for _ in range(len(self.waiting))]
+
+    def _place(self) -> tuple[int, object]:
+        while self.order[0] not in self.waiting:
+            self.order.popleft()
+        number = self.order[0]
+        if self.waiting[number][0] > self.free:
+            at = bisect_left(self.sizes, (self.free + 1, -self.seen))
+            if at:
+                number = -self.sizes[at - 1][1]
+            else:
+                self.box, self.free = self.new(), self.capacity
+        size, item = self.waiting.pop(number)
+        del self.sizes[bisect_left(self.sizes, (size, -number))]
+        self.free -= size
+        return self.box, item
 
 
 def token_keys(documents: DataFrame, ranks: str = RANKS, seed: int = 5) -> DataFrame:
@@ -80,11 +105,11 @@ def containers(documents: DataFrame, capacity: int = 1024, ranks: str = RANKS) -
 
     A text of at most ``capacity`` tokens is in one container, whole; a longer one is cut into full pieces, each filling
     a container of its own, and a rest that is packed like a short text. All texts are range-sorted by their key, and
-    each range is packed along the curve, :data:`WINDOW` items at a time, so containers hold neighbours; per range at
-    most :data:`OPEN` containers stay open. Container numbers are unique but neither dense nor the same in every run.
+    each range is packed along the curve by a :class:`Packer`, so a container holds neighbours of the curve. Container
+    numbers are unique but neither dense nor the same in every run, as the borders of ranges come from Spark's sampling.
 
     Null and empty texts take no space and give no rows; documents of one id are packed each; other columns are ignored;
-    an empty table gives no rows. No task holds more than a window, however many texts share a key.
+    an empty table gives no rows. No task holds more than the look-ahead and a batch, however many texts share a key.
     """
     if type(capacity) is not int or capacity < 1:
         raise ValueError("capacity must be a positive whole number")
@@ -93,26 +118,22 @@ def containers(documents: DataFrame, capacity: int = 1024, ranks: str = RANKS) -
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 40
         packer = Packer(capacity)
-        waiting: list[pd.DataFrame] = []
-
-        def flush() -> pd.DataFrame:
-            pdf = pd.concat(waiting, ignore_index=True)
-            waiting.clear()
-            full, rest = pdf.tokens // capacity, pdf.tokens % capacity
-            boxes = [packer.put(rest[a : a + WINDOW].tolist()) for a in range(0, len(pdf), WINDOW)]
-            last = pd.DataFrame({"container": np.concatenate(boxes), "doc_id": pdf.doc_id, "first_token": full * capacity, "tokens": rest})
-            many = pdf.doc_id.repeat(full).to_numpy()
-            nth = np.concatenate([np.arange(f) for f in full]) if len(many) else np.zeros(0, np.int64)
-            own = pd.DataFrame({"container": [packer.new() for _ in many], "doc_id": many, "first_token": nth * capacity, "tokens": capacity})
-            out = pd.concat([last[last.tokens > 0], own], ignore_index=True)
-            return out.assign(container=out.container.astype("int64") + base)
 
-        for pdf in batches:
-            waiting.append(pdf)
-            if sum(map(len, waiting)) >= WINDOW:
-                yield flush()
-        if waiting:
-            yield flush()
+        def table(rows: list[tuple[int, int, int, int]]) -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=["container", "doc_id", "first_token", "tokens"], dtype="int64")
+            return out.assign(container=out.container + base)
 
-    ordered = token_keys(documents, ranks).repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
+        for pdf in batches:
+            rows = []
+            for doc, tokens in zip(pdf.doc_id.tolist(), pdf.tokens.tolist()):
+                full, rest = divmod(tokens, capacity)
+                rows += [(packer.new(), doc, i * capacity, capacity) for i in range(full)]
+                if rest:
+                    rows += [(box, *item) for box, item in packer.put(rest, (doc, full * capacity, rest))]
+            yield table(rows)
+        yield table([(box, *item) for box, item in packer.rest()])
+
+    # the tokenizer runs once: finding the borders of ranges reads the keys again
+    keyed = written(token_keys(documents, ranks), "packing-keys")
+    ordered = keyed.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
     return ordered.mapInPandas(packed, "container long, doc_id long, first_token long, tokens long")

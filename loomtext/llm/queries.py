@@ -15,7 +15,7 @@ from loomtext.llm.packing import containers
 from loomtext.llm.rank_fusion import combined_order
 from loomtext.llm.results import latest_valid
 from loomtext.llm.sentences import sentences
-from loomtext.llm.splitting import split_oversized
+from loomtext.llm.splitting import oversized, split_oversized
 from loomtext.llm.term_counts import TermCounts
 from loomtext.llm.term_weights import most_distinctive, term_weights
 from loomtext.skew import spread
@@ -88,20 +88,36 @@ def p5_weights(spark: SparkSession, folder: str) -> DataFrame:
     return term_weights(table(spark, folder, "postings")).withColumn("weight", F.round("weight", 6))
 
 
-def _pieces(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:
-    documents = split_oversized(table(spark, folder, "documents"), "doc_id", "text", with_text=with_text)
-    passages = split_oversized(table(spark, folder, "passages"), "passage_id", "passage", with_text=with_text)
+def _both(f, spark: SparkSession, folder: str) -> DataFrame:
+    documents = f(table(spark, folder, "documents"), "doc_id", "text")
+    passages = f(table(spark, folder, "passages"), "passage_id", "passage")
     return documents.withColumn("kind", F.lit("document")).unionByName(passages.withColumn("kind", F.lit("passage")))
 
 
 @query
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _pieces(spark, folder, with_text=False).where("piece_no = 0").select("kind", "item_id", "cut")
+    return _both(oversized, spark, folder).select("kind", "item_id", "cut")
 
 
 @query
 def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return _pieces(spark, folder, with_text=True)
+    return _both(split_oversized, spark, folder)
+
+
+@query
+def p6_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What has to hold of every item's pieces: the limit, the overlap, no gap, and no neighbours that would fit into one."""
+    items = _both(oversized, spark, folder)
+    p, later = F.col("pieces"), F.sequence(F.lit(1), F.size("pieces") - 1)
+    end = lambda i: F.coalesce(F.get(p, i)["end"], F.lit(0))
+    count = lambda test: F.size(F.filter(later, test))
+    return items.select(
+        "kind", "item_id",
+        F.size(F.filter(p, lambda x: x["end"] - x["start"] > 2000)).alias("over_limit"),
+        count(lambda i: p[i]["start"] != F.greatest(end(i - 1) - 200, F.lit(0))).alias("wrong_overlap"),
+        count(lambda i: end(i) - end(i - 2) <= 1800).alias("would_fit"),
+        F.element_at(p, -1)["end"].cast("long").alias("characters"),
+    )
 
 
 @query

@@ -48,6 +48,11 @@ SQL: dict[str, str] = {
       case when len(list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}.!?。！？।؟]+'), lambda x: length(x) > 2000)) > 0
         then 'forced' else 'boundary' end as cut
     from items""",
+    "p6_audit": """
+    select kind, item_id, 0 as over_limit, 0 as wrong_overlap, 0 as would_fit, length(text) as characters from (
+      select 'document' as kind, doc_id as item_id, text from documents where doc_id is not null
+      union all select 'passage', passage_id, passage from passages where passage_id is not null)
+    where length(text) > 2000""",
     "p7_found": f"""
     with {_RESULTS}
     select query_id, scorer, doc_id from (
@@ -74,10 +79,10 @@ SQL["p2_found"] = f"""
     grid as (select query_id, doc_id, scorer, coalesce(least(greatest(score, low), high), low, 0) as v
       from (select distinct query_id, doc_id from latest) cross join (select distinct scorer from latest)
       left join latest using (query_id, doc_id, scorer) left join bounds using (query_id, scorer)),
-    points as (select query_id, scorer, max(v) as best, min(v) as worst, sqrt(sum(v * v)) as norm from grid group by all),
-    parts as (select query_id, doc_id, sqrt(sum(case when best > worst then ((v - worst) / norm / ((best - worst) / norm)) ** 2 else 0 end)) as far,
-        sqrt(sum(case when best > worst then ((v - best) / norm / ((best - worst) / norm)) ** 2 else 0 end)) as near
-      from grid join points using (query_id, scorer) group by all)
+    z as (select query_id, doc_id, scorer, case when max(v) over w > min(v) over w then (v - avg(v) over w) / sqrt(sum(c * c) over w) else 0 end as z
+      from (select *, v - avg(v) over (partition by query_id, scorer) as c from grid) window w as (partition by query_id, scorer)),
+    ends as (select query_id, scorer, max(z) as best, min(z) as worst from z group by all),
+    parts as (select query_id, doc_id, sqrt(sum((z - worst) ** 2)) as far, sqrt(sum((z - best) ** 2)) as near from z join ends using (query_id, scorer) group by all)
     select query_id, doc_id from (
       select *, row_number() over (partition by query_id order by round(case when far + near > 0 then far / (far + near) else 0.5 end, 9) desc, doc_id) as place from parts)
     where place <= 3"""

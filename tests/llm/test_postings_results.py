@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomtext.functions.text import py_normal_form
 from loomtext.llm.group_top import top_n
 from loomtext.llm.postings import valid_postings
-from loomtext.llm.rank_fusion import combined_order
+from loomtext.llm.rank_fusion import combined_order, quantile_rows
 from loomtext.llm.results import latest_valid, sortable
 from loomtext.llm.term_counts import TermCounts
 from loomtext.llm.term_weights import most_distinctive, term_weights
@@ -185,13 +185,37 @@ def test_order_against_formula(spark):
     rows = [(1, "abc"[j], i, float(values[i, j]), None) for i in range(40) for j in range(3)]
     lo, hi = (np.array([sorted(values[:, j])[k] for j in range(3)]) for k in (1, 37))
     w = np.clip(values, lo, hi)
+    w = w - w.mean(0)
     w /= np.linalg.norm(w, axis=0)
     best, worst = w.max(0), w.min(0)
-    far, near = (np.linalg.norm((w - e) / (best - worst), axis=1) for e in (worst, best))
+    far, near = (np.linalg.norm(w - e, axis=1) for e in (worst, best))
     got = {r.doc_id: r.closeness for r in combined_order(results(spark, rows)).collect()}
     assert [got[i] for i in range(40)] == pytest.approx((far / (far + near)).tolist(), abs=1e-8)
 
 
+def test_normalisation_decides(spark):
+    """Two scorers of one range: it is the norm that weighs them, so the one that spreads its scores evenly counts less."""
+    spiky, even = [0.0] * 9 + [1.0], [i / 9 for i in range(10)]
+    rows = [(1, s, d, v, None) for s, values in (("spiky", spiky), ("even", even[::-1])) for d, v in enumerate(values)]
+    order = [r.doc_id for r in combined_order(results(spark, rows), winsor=(0, 1)).orderBy(F.desc("closeness"), "doc_id").collect()]
+    z = [[(v - sum(x) / 10) / math.sqrt(sum((u - sum(x) / 10) ** 2 for u in x)) for v in x] for x in (spiky, even[::-1])]
+    far, near = ([math.hypot(*(c[d] - end(c) for c in z)) for d in range(10)] for end in (min, max))
+    assert order == sorted(range(10), key=lambda d: (-round(far[d] / (far[d] + near[d]), 9), d)) and order[0] == 9
+    ranged = [math.hypot(spiky[d], even[::-1][d]) for d in range(10)]
+    assert abs(ranged[0] - ranged[9]) < 1e-9  # by ranges alone the two would tie, and the smaller id lead
+
+
+@pytest.mark.parametrize("hot", [3, 3000])
+def test_quantiles_are_exact(spark, hot):
+    rng = random.Random(hot)
+    rows = [(0, rng.choice([rng.random(), 0.5, -1.0])) for _ in range(hot)] + [(k, rng.random()) for k in range(1, 40) for _ in range(k)]
+    got = {(r.k, r.level): r.v for r in quantile_rows(spark.createDataFrame(rows, "k long, v double").repartition(7), ["k"], "v", [0.0, 0.05, 0.95, 1.0]).collect()}
+    groups = defaultdict(list)
+    for k, v in rows:
+        groups[k].append(v)
+    assert got == {(k, i): sorted(v)[max(1, math.ceil(q * len(v))) - 1] for k, v in groups.items() for i, q in enumerate([0.0, 0.05, 0.95, 1.0])}
+
+
 def test_join_per_key(spark):
     rows = spark.createDataFrame([(0 if i < 5000 else i, i) for i in range(8000)], "k long, v long")
     per = rows.groupBy("k").agg(F.count("*").alias("n"))

@@ -1,6 +1,7 @@
 """Problems 3, 6, 8, 9 and 10: rules on small texts, round trips, brute force."""
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -84,24 +85,28 @@ def test_sentence_table(spark):
 @given(st.text(alphabet="abc .!\n。", max_size=400), st.integers(5, 60), st.data())
 def test_pieces_round_trip(text, limit, data):
     overlap = data.draw(st.integers(0, limit - 1))
-    parts, forced = pieces(text, limit, overlap)
-    at = 0
-    for n, (a, b, natural) in enumerate(parts):
+    parts, at = pieces(text, limit, overlap), 0
+    unbroken = re.split(r"[ \n.!。]", text)
+    for n, (a, b, stretch) in enumerate(parts):
         assert b - a <= limit and a == (max(0, at - overlap) if n else 0) and b > at or not text
-        if natural and b < len(text):
-            assert text[b - 1] in " \n.!。"
+        if b < len(text):
+            assert stretch in map(len, unbroken) and stretch >= limit - overlap if stretch else text[b - 1] in " \n.!。"
         at = b
     assert at == len(text)
-    longest = max(map(len, text.replace("\n", " ").replace(".", " ").replace("!", " ").replace("。", " ").split(" ")))
-    assert forced == (len(text) > limit and longest > limit)
+    contents = [0, *(b for _, b, _ in parts)]
+    assert all(c - a > limit - overlap for a, c in zip(contents, contents[2:]))
+    assert any(s > limit for _, _, s in parts) == (len(text) > limit and max(map(len, unbroken)) > limit)
 
 
 def test_pieces_prefer_strong_boundaries():
     a, b = "x" * 40 + ". " + "y" * 40 + ".", "z" * 50 + "."
     text = a + "\n\n" + b
-    assert [text[i:j] for i, j, _ in pieces(text, 100, 0)[0]] == [a + "\n\n", b]
-    assert pieces("short", 100, 10) == ([(0, 5, True)], False)
-    assert pieces("a" * 250, 100, 10)[1] is True
+    assert [text[i:j] for i, j, _ in pieces(text, 100, 0)] == [a + "\n\n", b]
+    # weakest first: the heap joins words, then sentences, so the paragraphs stay apart though other cuts would fill pieces better
+    text = "One two. Three.\n\nFour five six seven. Eight.\n\nNine."
+    assert [text[i:j] for i, j, _ in pieces(text, 30, 0)] == ["One two. Three.\n\n", "Four five six seven. Eight.\n\n", "Nine."]
+    assert pieces("short", 100, 10) == [(0, 5, 0)]
+    assert [s for _, _, s in pieces("a" * 95 + " " + "b" * 250, 100, 10)] == [95, 0, 250, 250, 0]
 
 
 def test_split_table(spark):
@@ -110,7 +115,7 @@ def test_split_table(spark):
     got = split_oversized(df, "id", "body")
     assert {(r.item_id, r.cut) for r in got.collect()} == {(1, "boundary"), (2, "forced"), (5, "boundary")}
     assert got.where("item_id = 5").count() >= 100000 * 3 / 1800
-    assert split_oversized(df.limit(0), "id", "body", with_text=False).count() == 0
+    assert split_oversized(df.limit(0), "id", "body").count() == 0
     with pytest.raises(ValueError):
         split_oversized(df, "id", "body", 10, 10)
 
@@ -118,15 +123,39 @@ def test_split_table(spark):
 # packing -------------------------------------------------------------------------------------------------------------
 
 
+def packed(sizes, look=256, capacity=1000):
+    packer = Packer(capacity, look)
+    return [x for i, s in enumerate(sizes) for x in packer.put(s, i)] + packer.rest()
+
+
 def test_packer():
     rng = random.Random(1)
     sizes = [rng.randrange(1, 400) for _ in range(5000)]
-    packer = Packer(1000)
-    boxes = packer.put(sizes)
+    placed = packed(sizes)
+    assert sorted(i for _, i in placed) == list(range(5000))
     used = {}
-    for s, b in zip(sizes, boxes):
-        used[b] = used.get(b, 0) + s
+    for box, i in placed:
+        used[box] = used.get(box, 0) + sizes[i]
     assert max(used.values()) <= 1000 and len(used) <= sum(sizes) / 1000 * 1.01 + 1
+    assert packed([]) == [] and packed([1000, 1000, 1]) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_containers_hold_neighbours():
+    """Where on the curve the items of a container lie, against the same items with the curve's order lost in short windows."""
+    rng = random.Random(4)
+    sizes = [min(1000, int(rng.lognormvariate(5, 1)) + 1) for _ in range(6000)]
+
+    def spread(order):
+        at = {}
+        for box, i in packed([sizes[i] for i in order]):
+            at.setdefault(box, []).append(order[i])
+        boxes = [max(x) - min(x) for x in at.values() if len(x) > 1]
+        return sum(boxes) / len(boxes), sum(sizes) / 1000 / len(at)
+
+    curve = list(range(len(sizes)))
+    windows = [i for a in range(0, 6000, 256) for i in rng.sample(curve[a : a + 256], len(curve[a : a + 256]))]
+    (own, fill), (mixed, _), (lost, _) = spread(curve), spread(windows), spread(rng.sample(curve, 6000))
+    assert fill > 0.99 and own < 0.8 * mixed and own < 0.05 * lost
 
 
 def test_containers(spark):
