@@ -1,16 +1,26 @@
 """Main body of web pages by composite text density, over the visible text of a page, one block a line.
 
-The tables hold no tags, so the tree is rebuilt: the body's children are runs of linked and of plain lines, and their
-children are the lines. What the tags would tell, which characters stand in links or in the site's template, comes from
-the collection: a line that a good part of a site's pages repeat (digits and the site's name masked) is template, on
-small sites a line that is template on the sites that have it; so are menus, breadcrumbs, links to neighbours and the
-titles listed under a label.
+The tables hold no tags, so the tree is rebuilt: a page's children are runs of lines, and their children are the lines,
+each with one tag. What tags would tell, how much of a line stands in links or in the site's template, is a share from 0
+to 1 that comes from counts over the collection, not from lists of words:
+
+- how many pages of its site have the line, digits and the site's name masked; on small sites, how many pages of all
+  sites that have it;
+- for a menu the same of each of its items, so that an item is known wherever it stood;
+- for lines held together by marks, such as trails and links to neighbouring pages, the same of their first mark;
+- for a line that on nearly all its pages is followed by a title that differs from page to page, that rate: it is the
+  label of a list of links, and the titles that follow it share it.
+
+Then text densities decide: a line is main body if it is no more linked than the threshold that the path from the
+subtree with the greatest sum of densities to the whole page gives.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,97 +30,129 @@ from pyspark.sql import functions as F
 from loomtext.scratch import written
 from loomtext.skew import join_per_key
 
-#: Labels under which pages list other pages, their tags or posts.
-LABELS = (
-    "tags", "related articles", "related", "see also", "most read this week", "most read", "popular", "on other pages", "recent posts",
-    "ähnliche artikel", "meistgelesen", "schlagwörter", "auf anderen seiten", "siehe auch",
-    "схожі статті", "теги", "найпопулярніше", "на інших сторінках", "дивіться також",
-    "articles similaires", "mots-clés", "les plus lus", "à lire aussi", "artículos relacionados", "etiquetas", "lo más leído", "véase también",
-    "関連記事", "タグ", "相关文章", "标签", "संबंधित लेख", "टैग", "مقالات ذات صلة", "وسوم", "บทความที่เกี่ยวข้อง", "แท็ก",
-)
-#: How links to the page before and after are introduced.
-BEFORE = r"previous|prev|zurück|vorherige|voriger|попередн\w*|назад|précédent|anterior|前へ|上一篇|पिछला|السابق|ก่อนหน้า"
-AFTER = r"next|weiter|nächste|nächster|наступн\w*|далі|suivant|siguiente|次へ|下一篇|अगला|التالي|ถัดไป"
-
-_NEIGHBOURS = re.compile(rf"^(?:«.+\|.+»|[←‹].+[→›].*|(?:{BEFORE}):.+\b(?:{AFTER}):.+)$", re.I)
-_TRAIL = re.compile(r"^[^/>»›]{1,40}(?: ([/>»›]) )[^/>»›]{1,40} \1 .{1,120}$")
-_MENU = re.compile(r"\s+[|·•/]\s+|\s{2,}")
-_HASHTAGS = re.compile(r"^#\w[\w-]*(?:\s+#\w[\w-]*)+$")
+#: Shares of pages from which a line, and a line's first mark, are as likely linked as not; a share counts in proportion.
+SHARE, MARK_SHARE = 0.2, 0.0625
+#: A line's linked share is taken to be at least FLOOR, and at most TOP where pages repeat it; a label's is at least LABEL.
+FLOOR, TOP, LABEL = 0.1, 0.98, 0.9
+
+_SEPARATOR = re.compile(r"\s+[|·•/»>›]\s+|\s{2,}")
 _END = re.compile(r"[.!?。！？।؟…:;,]['\"”’»」』)）\]]*$")
 _CODE = re.compile(r"^(?:>>>|\$ |\.\.\.|#!|import |from \S+ import|return\b|def |class |with |\[)|[=(){};]|--\w")
-_RIGHTS = re.compile(r"^(?:©|\(c\) ?\d|copyright\b)", re.I)
 _BULLET = re.compile(r"^(?:[-*•–]|\d+[.)])\s")
+_DIGITS = re.compile(r"\d+")
+_LISTED, _OWN, _TRAIL = 1, 2, 4
 
 
-def _heading(title: str | None, site: str) -> str:
-    """The title without the site's name after its last separator."""
+def heading_of(title: str | None, site: str) -> str:
+    """The title without the site's name after its last separator, in lower case."""
     title = (title or "").strip()
     head, _, tail = re.sub(r" [|—–-] (?=[^|—–-]*$)", "\0", title).partition("\0")
     return (head if tail and tail.strip().casefold() == site else title).strip().casefold()
 
 
-def _listed(line: str) -> bool:
+def may_be_listed(line: str) -> bool:
     """Whether the line can be the title of another page in a list."""
     return len(line) <= 60 and len(line.split()) <= 8 and not _END.search(line) and not _CODE.search(line) and not _BULLET.match(line)
 
 
-def linked_lines(lines: list[str], template: list[bool], title: str | None, site: str) -> list[bool]:
-    """Of each stripped line, whether it stands in links or in the site's template."""
-    heading, out, in_list = _heading(title, site), [], False
-    for line, repeated in zip(lines, template):
-        low = line.casefold()
+def first_mark(line: str) -> str | None:
+    """What holds a line of several marks together: its first word if that is a mark, or the sign that recurs in it and what
+    stands before it. None for sentences, code, list items and lines with fewer than two marks."""
+    words = line.split()
+    is_mark = [len(w) > 1 and (w[0] == "#" or w[-1] == ":") or not any(map(str.isalnum, w)) for w in words]
+    if sum(is_mark) < 2 or _END.search(line) or _CODE.search(line) or _BULLET.match(line):
+        return None
+    if is_mark[0]:
+        return "#" if words[0][0] == "#" else words[0].lower()
+    sign, times = Counter([w for w, m in zip(words, is_mark) if m and len(w) == 1] or [""]).most_common(1)[0]
+    return f"{line.split(f' {sign} ')[0].lower()} {sign}" if times > 1 else None
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def line_features(text: str, title: str | None, name: str) -> list[tuple]:
+    """Of every line that isn't blank: its number, characters, flags, and the keys by which pages are compared: the line's, its
+    first mark's, those of its menu items, with the characters of each. The flags tell lines that can be titles in a list,
+    the page's own heading, and trails that end in it. A line without letters has the key 0, as has what has no mark."""
+    heading, out = heading_of(title, name), []
+
+    def key(kind: str, part: str) -> int:
+        low = part.lower().replace(name, "@") if name else part.lower()
+        masked = _DIGITS.sub("0", low)
+        return _hash(kind + masked) if any(c.isalpha() or c == "@" for c in masked) or kind == "mark " else 0
+
+    for number, raw in enumerate(text.split("\n")):
+        line = raw.strip()
         if not line:
-            out.append(True)
             continue
-        own = bool(heading) and low == heading
-        label = low.rstrip(":") in LABELS
-        trail = bool(heading) and any(low.endswith(f" {s} {heading}") for s in "/>»›") or bool(_TRAIL.match(line)) and not _END.search(line) and not _CODE.search(line)
-        parts = _MENU.split(line)
-        menu = len(parts) >= 3 and all(len(p.split()) <= 3 and len(p) <= 24 for p in parts) and not _END.search(line) and not _CODE.search(line)
-        linked = not own and (repeated or label or trail or menu or bool(_NEIGHBOURS.match(line) or _HASHTAGS.match(line) or _RIGHTS.match(line)))
-        if linked or own:
-            in_list = label
-        elif in_list and _listed(line):
-            linked = True
-        else:
-            in_list = False
-        out.append(linked)
+        low = line.casefold()
+        flags = _LISTED * may_be_listed(line) + _OWN * (bool(heading) and low == heading)
+        flags += _TRAIL * (bool(heading) and low.endswith(heading) and any(low.endswith(f" {s} {heading}") for s in "/>»›"))
+        mark = first_mark(line)
+        parts = [p for p in _SEPARATOR.split(line) if p]
+        items = [(k, len(p)) for p in parts if (k := key("line ", p))] if len(parts) >= 3 and max(map(len, parts)) <= 24 else []
+        out.append((number, len(line), flags, key("line ", line), 0 if mark is None else key("mark ", mark), [k for k, _ in items], [n for _, n in items]))
     return out
 
 
-def density(chars: float, tags: float, link_chars: float, link_tags: float, body_share: float) -> float:
-    """Composite text density: characters per tag, adjusted by the characters and tags in links; 0 if all are."""
-    if chars <= 0 or link_chars >= chars:
-        return 0.0
-    plain, lc, lt = chars - link_chars, max(link_chars, 0.5), max(link_tags, 0.5)
-    base = math.log(chars / plain * lc + body_share * chars + math.e)
-    return chars / tags * math.log(chars / lc * tags / lt) / base
+def composite_density(chars: float, tags: float, link_chars: float, link_tags: float, body_share: float) -> float:
+    """Composite text density: characters per tag, adjusted by the characters and tags in links, which are above 0 and below
+    all; ``body_share`` is the part of the whole page's characters that stands in links."""
+    base = math.log(chars / (chars - link_chars) * link_chars + body_share * chars + math.e)
+    return chars / tags * math.log(chars / link_chars * tags / link_tags) / math.log(base)
+
+
+def linked_shares(lines: list[tuple], known: dict[int, float], labels: dict[int, float]) -> list[float]:
+    """Of each line of :func:`line_features` the share that stands in links, from the evidence for the keys of its site."""
+    out, listing = [], 0.0
+    for _, chars, flags, key, mark, items, sizes in lines:
+        if flags & _OWN:
+            share, listing = 0.0, 0.0
+        elif flags & _TRAIL:
+            share, listing = TOP, 0.0
+        else:
+            of_items = sum(n * known.get(k, 0.0) for k, n in zip(items, sizes)) / max(1, sum(sizes))
+            share = max(known.get(key, 0.0), known.get(mark, 0.0), of_items)
+            label = labels.get(key, 0.0) if flags & _LISTED else 0.0
+            if label:
+                share, listing = max(share, label), label
+            elif share >= 0.5 or not flags & _LISTED:
+                listing = 0.0
+            share = max(share, listing)
+        out.append(min(max(share, FLOOR), TOP))
+    return out
 
 
-def main_lines(lines: list[str], linked: list[bool]) -> list[int]:
-    """Numbers of the lines of the main body.
+def main_lines(chars: list[int], shares: list[float]) -> list[int]:
+    """Places of the lines of the main body.
 
-    Densities are computed for lines and runs; the subtree whose children's densities add up to most is chosen, and
-    every line of it that isn't linked is kept: a line is linked as a whole or not at all, and a plain one of any length
-    is text, so no threshold on its density applies.
+    Neighbouring lines that are more, or less, than half linked are one subtree, and the page is the tree of all. Of the
+    subtrees the one whose lines' densities add up to most is the core; a page whose core is mostly linked has no main
+    body. The threshold is the lowest density on the path from the core to the page, a character of it, as characters per
+    tag would tell a long line from a short one and not text from links; every line that reaches it is main body.
     """
-    leaves = [(i, float(len(x))) for i, x in enumerate(lines) if x]
-    chars = sum(c for _, c in leaves)
-    in_links = sum(c for i, c in leaves if linked[i])
-    if not chars or in_links >= chars:
+    if not chars:
         return []
-    share = in_links / chars
-    leaf = {i: density(c, 1, c if linked[i] else 0, 1 if linked[i] else 0, share) for i, c in leaves}
+    linked = sum(c * s for c, s in zip(chars, shares))
+    body = linked / sum(chars)
+
+    def density(places: list[int]) -> float:
+        c, lc = sum(chars[i] for i in places), sum(chars[i] * shares[i] for i in places)
+        return composite_density(c, len(places), lc, sum(shares[i] for i in places), body)
+
     runs: list[list[int]] = []
-    for i, _ in leaves:
-        if not runs or linked[runs[-1][-1]] != linked[i]:
+    for i, share in enumerate(shares):
+        if not runs or (shares[runs[-1][-1]] < 0.5) != (share < 0.5):
             runs.append([])
         runs[-1].append(i)
-    size = lambda run: sum(len(lines[i]) for i in run)
-    of_run = [density(size(r), len(r), size(r) if linked[r[0]] else 0, len(r) if linked[r[0]] else 0, share) for r in runs]
-    best = max(range(len(runs)), key=lambda k: sum(leaf[i] for i in runs[k]))
-    whole = sum(of_run) >= sum(leaf[i] for i in runs[best]) or sum(d > 0 for d in of_run) > 1
-    return sorted(i for i in (leaf if whole else runs[best]) if not linked[i])
+    core = max(runs, key=lambda run: sum(density([i]) for i in run))
+    if shares[core[0]] >= 0.5:
+        return []
+    per_character = lambda places: density(places) * len(places) / sum(chars[i] for i in places)
+    threshold = min(per_character(core), per_character(list(range(len(chars)))))
+    return [i for i in range(len(chars)) if per_character([i]) >= threshold]
 
 
 def _site(url: Column) -> Column:
@@ -123,63 +165,94 @@ def _name(site: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(site, r"([^.]+)\.[^.]+$", 1), F.lit("")), site)
 
 
-def _keys(lines: Column, name: Column) -> Column:
-    """Hashes of lines with digits and the site's name masked; null for lines without a letter."""
+_FEATURES = "no array<int>, chars array<int>, flags array<int>, keys array<long>, marks array<long>, items array<array<long>>, item_chars array<array<int>>"
 
-    def key(line: Column) -> Column:
-        low = F.lower(F.regexp_replace(line, r"(?U)^\s+|\s+$", ""))
-        masked = F.regexp_replace(F.when(name != "", F.replace(low, name, F.lit("@"))).otherwise(low), r"\p{N}+", "0")
-        return F.when(masked.rlike(r"[\p{L}@]"), F.xxhash64(masked))
 
-    return F.transform(lines, key)
+def _keyed(pages: DataFrame) -> DataFrame:
+    """Of every page its site, the hash of its address without query and fragment, and its lines' features; texts stay behind."""
+    address = F.regexp_replace(F.lower(F.trim("url")), r"^[a-z][a-z0-9+.-]*://|[?#].*$|/+(?=$|[?#])", "")
+    site = _site(F.col("url"))
+    rows = pages.where("page_id is not null and text is not null").select("page_id", site.alias("site"), _name(site).alias("name"), F.xxhash64(address).alias("at"), "title", "text")
 
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            features = [list(zip(*line_features(t, h, n))) or [()] * 7 for t, h, n in zip(pdf.text, pdf.title, pdf.name)]
+            columns = dict(zip(("no", "chars", "flags", "keys", "marks", "items", "item_chars"), map(list, zip(*features))))
+            yield pd.DataFrame({"page_id": pdf.page_id, "site": pdf.site, "at": pdf["at"], "same": [_hash(t) for t in pdf.text], **columns})
 
-def template_lines(pages: DataFrame, share: float = 0.2, least_pages: int = 8) -> DataFrame:
-    """``(site, n, template)``: of each site its pages and the keys of its template lines.
+    return rows.mapInPandas(read, f"page_id long, site string, at long, same long, {_FEATURES}")
 
-    A line is template on a site of at least ``least_pages`` pages if ``share`` of them have it, else if that share of
-    all pages of the sites that have it do, where those are at least three. Pages with the same text on a site, or of the
-    same address but for query and fragment, count once. What is gathered per site are only template lines, of which a
-    site has at most its lines per page over ``share``, and those of other sites that it repeats.
-    """
-    address = F.regexp_replace(F.lower(F.trim("url")), r"^[a-z][a-z0-9+.-]*://|[?#].*$|/+(?=$|[?#])", "")
-    one = pages.groupBy("site", F.xxhash64("text").alias("_t")).agg(F.min(F.struct(address.alias("at"), F.col("page_id"))).alias("p"))
-    one = one.groupBy("site", "p.at").agg(F.min("p.page_id").alias("page_id"))
-    seen = pages.join(one.select("page_id"), "page_id", "left_semi")
-    of_page = seen.select("site", F.explode(F.array_distinct("keys")).alias("key")).where("key is not null")
-    sites = written(seen.groupBy("site").agg(F.count("*").alias("n")), "page-sites")
-    lines = written(join_per_key(of_page.groupBy("site", "key").agg(F.count("*").alias("times")), sites, ["site"], "n"), "page-lines")
-    enough = F.col("n") >= least_pages
-    everywhere = lines.groupBy("key").agg(F.count("*").alias("sites"), (F.sum("times") / F.sum("n")).alias("part"))
-    everywhere = everywhere.where((F.col("sites") >= 3) & (F.col("part") >= share))
-    here = lines.where(enough & (F.col("times") >= F.greatest(F.lit(3.0), share * F.col("n")))).select("site", "key")
-    there = lines.join(everywhere, "key", "left_semi").select("site", "key")
-    marked = here.union(there).groupBy("site").agg(F.collect_set("key").alias("template"))
-    return sites.join(marked, "site", "left").select("site", "n", F.coalesce("template", F.array().cast("array<bigint>")).alias("template"))
 
+def evidence(keyed: DataFrame, share: float = SHARE, least_pages: int = 8) -> DataFrame:
+    """``(site, n, known, labels)``: of each site its pages and, for the keys that its pages show, the linked share that
+    repetition gives and the rate at which titles follow.
 
-def main_body(pages: DataFrame, share: float = 0.2) -> DataFrame:
-    """``(page_id, line_no, line)``: of every page the lines of its main body, counted from 0, blank ones left out.
+    Pages with the same text on a site, or of the same address but for query and fragment, count once. Of a site with
+    at least ``least_pages`` a key's pages are compared with the site's, if they are at least three, else with those of
+    all sites that have the key, if those are at least three; marks are always compared with both. What is gathered per site are keys of more than a small
+    share of pages, of which a site has at most its lines per page over that share.
+    """
+    once = keyed.groupBy("site", "same").agg(F.min(F.struct("at", "page_id")).alias("p")).groupBy("site", "p.at").agg(F.min("p.page_id").alias("page_id"))
+    seen = keyed.join(once.select("page_id"), "page_id", "left_semi")
+    sites = written(seen.groupBy("site").agg(F.count("*").alias("n")), "page-sites")
+    entry = lambda c, mark: F.transform(c, lambda k: F.struct(k.alias("key"), F.lit(mark).alias("mark")))
+    every = F.array_distinct(F.concat(entry("keys", False), entry("marks", True), entry(F.flatten("items"), False)))
+    shown = seen.select("site", F.explode(every).alias("k")).select("site", "k.key", "k.mark").where("key <> 0")
+    times = shown.groupBy("site", "key", "mark").agg(F.count("*").alias("times"))
+    times = written(join_per_key(times, sites, ["site"], "n"), "page-keys")
+    pooled = times.groupBy("key").agg(F.count("*").alias("sites"), (F.sum("times") / F.sum("n")).alias("part"))
+    pooled = pooled.where((F.col("sites") >= 3) & (F.col("part") >= 0.02)).select("key", "part")
+
+    is_listed = lambda i: F.get("flags", i).bitwiseAND(_LISTED | _OWN) == _LISTED
+    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size("no") - 1, F.lit(0))), lambda i: F.coalesce(is_listed(i) & (F.get("keys", i) != 0), F.lit(False)))
+    pairs = F.transform(at, lambda i: F.struct(F.get("keys", i).alias("key"), F.when(is_listed(i + 1), F.get("keys", i + 1)).alias("then")))
+    followed = seen.select("site", F.explode(pairs).alias("p")).groupBy("site", "p.key", "p.then").agg(F.count("*").alias("c"))
+    # a pair that a site repeats is its template, not a label with a title
+    titles = F.sum(F.when(F.col("then").isNotNull() & (F.col("c") < 3), F.col("c")).otherwise(0))
+    labels = followed.groupBy("key").agg(((titles + 1) / (F.sum("c") + 2)).alias("label")).where(F.col("label") >= LABEL)
+
+    own = F.when(F.col("mark") | (F.col("n") >= least_pages), F.when(F.col("times") >= 3, F.col("times") / F.col("n")).otherwise(0.0)).otherwise(0.0)
+    others = F.when(F.col("mark") | (F.col("n") < least_pages), F.coalesce("part", F.lit(0.0))).otherwise(0.0)
+    linked = F.least(F.greatest(own, others) / (2 * F.when(F.col("mark"), F.lit(share * MARK_SHARE / SHARE)).otherwise(F.lit(share))), F.lit(TOP))
+    known = times.join(pooled, "key", "left").join(labels, "key", "left").select("site", "key", linked.alias("linked"), "label")
+    known = known.where((F.col("linked") > FLOOR) | F.col("label").isNotNull())
+    per_site = known.groupBy("site").agg(F.collect_list(F.struct("key", "linked", F.coalesce("label", F.lit(0.0)).alias("label"))).alias("known"))
+    none = F.array().cast("array<struct<key: bigint, linked: double, label: double>>")
+    return sites.join(per_site, "site", "left").select("site", "n", F.coalesce("known", none).alias("known"))
+
+
+def main_body(pages: DataFrame, share: float = SHARE) -> DataFrame:
+    """``(page_id, line_no)``: of every page the lines of its main body, counted from 0, blank ones left out.
 
     ``pages`` has ``page_id``, ``url``, ``title`` and ``text``; other columns are ignored. Null and blank texts and pages
     without main body give no rows; a null title or URL only takes their evidence away; pages of one id are told apart
-    by nothing and each give their rows. Of an empty table nothing comes out.
+    by nothing and each give their rows. Of an empty table nothing comes out. Texts are read once, whole; what is
+    shuffled are hashes of lines.
     """
-    site = _site(F.col("url"))
-    base = pages.where("page_id is not null and text is not null").select("page_id", "url", "title", "text", site.alias("site"))
-    lines = F.split("text", "\n")
-    base = base.withColumn("keys", _keys(lines, _name(F.col("site"))))
-    joined = join_per_key(base.select("page_id", "title", "text", "site"), written(template_lines(base, share), "page-templates"), ["site"], "n")
-    flags = F.transform(_keys(lines, _name(F.col("site"))), lambda k: F.coalesce(F.array_contains("template", k), F.lit(False)))
-    ready = joined.select("page_id", "title", "text", _name(F.col("site")).alias("site"), flags.alias("template"))
+    keyed = written(_keyed(pages), "page-lines")
+    per_site = written(evidence(keyed, share), "page-evidence")
+    names = [c.split()[0] for c in _FEATURES.split(", ")]
+    ready = join_per_key(keyed.select("page_id", "site", *names), per_site, ["site"], "n")
+    ready = ready.select("page_id", *names, F.col("known.key").alias("known"), F.col("known.linked").alias("linked"), F.col("known.label").alias("label"))
 
     def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for page, title, text, name, template in zip(pdf.page_id, pdf.title, pdf.text, pdf.site, pdf.template):
-                raw = text.split("\n")
-                bare = [x.strip() for x in raw]
-                rows += [(page, i, bare[i]) for i in main_lines(bare, linked_lines(bare, list(template), title, name))]
-            yield pd.DataFrame(rows, columns=["page_id", "line_no", "line"])
-
-    return ready.mapInPandas(bodies, "page_id long, line_no int, line string")
+            ids, numbers = [], []
+            for row in pdf.itertuples(index=False):
+                known = dict(zip(row.known.tolist(), row.linked.tolist()))
+                labels = {k: v for k, v in zip(row.known.tolist(), row.label.tolist()) if v}
+                flat = [x.tolist() for x in (row.no, row.chars, row.flags, row.keys, row.marks, row.items, row.item_chars)]
+                kept = main_lines(flat[1], linked_shares(list(zip(*flat)), known, labels))
+                ids += [row.page_id] * len(kept)
+                numbers += [flat[0][i] for i in kept]
+            yield pd.DataFrame({"page_id": pd.Series(ids, dtype="int64"), "line_no": pd.Series(numbers, dtype="int32")})
+
+    return ready.mapInPandas(bodies, "page_id long, line_no int")
+
+
+def body_text(pages: DataFrame, share: float = SHARE) -> DataFrame:
+    """``(page_id, text)``: the text of every page with a main body, its lines without white space around them."""
+    kept = main_body(pages, share).groupBy("page_id").agg(F.sort_array(F.collect_set("line_no")).alias("_kept"))
+    lines = F.split("text", "\n")
+    both = pages.where("text is not null").select("page_id", "text").join(kept, "page_id")
+    return both.select("page_id", F.array_join(F.transform("_kept", lambda i: F.regexp_replace(F.get(lines, i), r"(?U)^\s+|\s+$", "")), "\n").alias("text"))

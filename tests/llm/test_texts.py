@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomtext.functions.text import py_tokens
-from loomtext.llm.boilerplate import density, linked_lines, main_body, main_lines
+from loomtext.llm.boilerplate import body_text, composite_density, first_mark, main_body, main_lines
 from loomtext.llm.leaks import SuffixAutomaton, leaked, without_leaks
 from loomtext.llm.packing import Packer, containers
 from loomtext.llm.sentences import sentences, units
@@ -248,15 +248,50 @@ def test_main_body(spark):
 
 
 def test_density():
-    assert density(10, 1, 10, 1, 0.5) == 0 == density(0, 1, 0, 0, 0)
-    assert density(100, 1, 0, 0, 0.1) > density(100, 2, 0, 0, 0.1) > 0
-    assert density(100, 1, 0, 0, 0.1) > density(100, 1, 50, 0, 0.1)
-    lines = ["A plain line.", "", "Menu"]
-    assert main_lines(lines, [False, True, True]) == [0] and main_lines(["x"], [True]) == []
-    assert linked_lines(["#a #b", "Tags", "Other title", "A sentence."], [False] * 4, None, "") == [True, True, True, False]
-
-
-def test_short_lines_beside_long_paragraphs_are_kept():
-    lines = ["A paragraph. " * 60] * 12 + ["[4, 83]", "Not yet.", "x", "Home"]
-    assert main_lines(lines[:-1], [False] * 15) == list(range(15))
-    assert main_lines(lines, [False] * 15 + [True]) == list(range(15))
+    d = composite_density
+    assert d(100, 1, 10, 0.1, 0.1) > d(100, 2, 10, 0.2, 0.1) > 0
+    assert d(100, 1, 10, 0.1, 0.1) > d(100, 1, 50, 0.1, 0.1) > d(100, 1, 50, 0.5, 0.1) > d(100, 1, 98, 0.98, 0.1) > 0
+
+
+def test_the_density_step_decides():
+    """One line of the same share is kept on a page that is linked all over and dropped on one that hardly is."""
+    text, menu = [100] * 5, [10] * 20
+    assert main_lines([*text, 60], [0.1] * 5 + [0.45]) == [0, 1, 2, 3, 4]
+    assert 25 in main_lines([*text, *menu, 60], [0.1] * 5 + [0.98] * 20 + [0.45])
+    assert main_lines(menu, [0.98] * 20) == [] == main_lines([], [])
+    # short text beside long text reaches the threshold, whatever its length
+    assert main_lines([800] * 12 + [7, 8, 1, 4], [0.1] * 15 + [0.98]) == list(range(15))
+
+
+def test_first_mark():
+    assert first_mark("« Some page | Another »") == "«" and first_mark("Vorige: A B Nächste: C") == "vorige:" and first_mark("#a #b-c") == "#"
+    assert first_mark("Docs > Guides > A page") == "docs >"
+    for line in ("A plain line", "- item - more", "x = f(1) - 2", "He said: no — yes.", "A - b", ""):
+        assert first_mark(line) is None
+
+
+@pytest.mark.parametrize("tags, related, menu", [("Tags", "Related articles", "Home Docs Blog"), ("Etichette", "Articoli correlati", "Inizio Guide Notizie"), ("Tagi", "Powiązane wpisy", "Start Dokumenty Wieści")])
+def test_any_language(spark, tags, related, menu):
+    """Labels, menus and links to neighbours are known by how pages repeat them, in languages that no list names."""
+    rng, rows = random.Random(6), []
+    word = lambda: "".join(rng.choices("bdklmnoprstuvaei", k=6))
+    kept = {}
+    for i in range(60):
+        site = f"site{i % 4}"
+        body = [f"{word().title()} {' '.join(word() for _ in range(14))}." for _ in range(5)]
+        listed = lambda: f"{word().title()} {word()}"
+        head = [*menu.split(), f"{word().title()} {i}"] if i % 2 else [" | ".join(menu.split()), f"{word().title()} {i}"]
+        lines = [*head, *body[:2], f"n = {word()}({i})", *body[2:], related, listed(), listed(), tags, listed(), f"« {listed()} | {listed()} »", f"© 2020 {site.title()}"]
+        first = len(head) - 1
+        kept[i] = list(range(first, first + 7))
+        rows.append((i, f"https://{site}.example/{i}", head[-1], "\n".join(lines)))
+    got = {}
+    for r in main_body(spark.createDataFrame(rows, "page_id long, url string, title string, text string")).collect():
+        got.setdefault(r.page_id, []).append(r.line_no)
+    assert {k: sorted(v) for k, v in got.items()} == kept
+
+
+def test_body_text(spark):
+    rows = [page("alpha", i, [f"Unique {c} {c * 3} here.", f"  Also {c * 4}. "]) for i, c in enumerate("abcdefghij")] + [(99, "u", None, None, 9)]
+    got = {r.page_id: r.text for r in body_text(spark.createDataFrame(rows, "page_id long, url string, title string, text string, n int")).collect()}
+    assert got == {i: f"T {i}\nUnique {c} {c * 3} here.\nAlso {c * 4}." for i, c in enumerate("abcdefghij")}
