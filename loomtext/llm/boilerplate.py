@@ -21,9 +21,11 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import accumulate, chain
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,9 @@ SHARE, MARK_SHARE = 0.2, 0.0625
 #: A line's linked share is taken to be at least FLOOR, and at most TOP where pages repeat it; a label's is at least LABEL.
 FLOOR, TOP, LABEL = 0.1, 0.98, 0.9
 
+#: Longer lines are neither menus nor links to neighbouring pages.
+LONG = 300
+
 _SEPARATOR = re.compile(r"\s+[|·•/»>›]\s+|\s{2,}")
 _END = re.compile(r"[.!?。！？।؟…:;,]['\"”’»」』)）\]]*$")
 _CODE = re.compile(r"^(?:>>>|\$ |\.\.\.|#!|import |from \S+ import|return\b|def |class |with |\[)|[=(){};]|--\w")
@@ -52,15 +57,17 @@ def heading_of(title: str | None, site: str) -> str:
 
 def may_be_listed(line: str) -> bool:
     """Whether the line can be the title of another page in a list."""
-    return len(line) <= 60 and len(line.split()) <= 8 and not _END.search(line) and not _CODE.search(line) and not _BULLET.match(line)
+    return len(line) <= 60 and len(line.split()) <= 8 and not _END.search(line[-8:]) and not _CODE.search(line) and not _BULLET.match(line)
 
 
 def first_mark(line: str) -> str | None:
     """What holds a line of several marks together: its first word if that is a mark, or the sign that recurs in it and what
     stands before it. None for sentences, code, list items and lines with fewer than two marks."""
+    if _END.search(line[-8:]):
+        return None
     words = line.split()
-    is_mark = [len(w) > 1 and (w[0] == "#" or w[-1] == ":") or not any(map(str.isalnum, w)) for w in words]
-    if sum(is_mark) < 2 or _END.search(line) or _CODE.search(line) or _BULLET.match(line):
+    is_mark = [not w.isalnum() and (len(w) > 1 and (w[0] == "#" or w[-1] == ":") or not any(map(str.isalnum, w))) for w in words]
+    if sum(is_mark) < 2 or _CODE.search(line) or _BULLET.match(line):
         return None
     if is_mark[0]:
         return "#" if words[0][0] == "#" else words[0].lower()
@@ -72,29 +79,44 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def line_features(text: str, title: str | None, name: str) -> list[tuple]:
-    """Of every line that isn't blank: its number, characters, flags, and the keys by which pages are compared: the line's, its
-    first mark's, those of its menu items, with the characters of each. The flags tell lines that can be titles in a list,
-    the page's own heading, and trails that end in it. A line without letters has the key 0, as has what has no mark."""
-    heading, out = heading_of(title, name), []
+class _Reader:
+    """Features of lines; what doesn't depend on the page is kept for the lines that a site repeats."""
 
-    def key(kind: str, part: str) -> int:
+    def __init__(self, most: int = 100_000):
+        self.most, self.seen = most, {}
+
+    def _key(self, kind: str, part: str, name: str) -> int:
         low = part.lower().replace(name, "@") if name else part.lower()
         masked = _DIGITS.sub("0", low)
-        return _hash(kind + masked) if any(c.isalpha() or c == "@" for c in masked) or kind == "mark " else 0
-
-    for number, raw in enumerate(text.split("\n")):
-        line = raw.strip()
-        if not line:
-            continue
-        low = line.casefold()
-        flags = _LISTED * may_be_listed(line) + _OWN * (bool(heading) and low == heading)
-        flags += _TRAIL * (bool(heading) and low.endswith(heading) and any(low.endswith(f" {s} {heading}") for s in "/>»›"))
-        mark = first_mark(line)
-        parts = [p for p in _SEPARATOR.split(line) if p]
-        items = [(k, len(p)) for p in parts if (k := key("line ", p))] if len(parts) >= 3 and max(map(len, parts)) <= 24 else []
-        out.append((number, len(line), flags, key("line ", line), 0 if mark is None else key("mark ", mark), [k for k, _ in items], [n for _, n in items]))
-    return out
+        return _hash(kind + masked) if kind == "mark " or any(c.isalpha() or c == "@" for c in masked) else 0
+
+    def _line(self, line: str, name: str) -> tuple:
+        mark = first_mark(line) if len(line) <= LONG else None
+        parts = [p for p in _SEPARATOR.split(line) if p] if len(line) <= LONG else []
+        items = [(k, len(p)) for p in parts if (k := self._key("line ", p, name))] if len(parts) >= 3 and max(map(len, parts)) <= 24 else []
+        listed = _LISTED * may_be_listed(line)
+        return line.casefold(), listed, self._key("line ", line, name), self._key("mark ", mark, name) if mark else 0, [k for k, _ in items], [n for _, n in items]
+
+    def page(self, text: str, title: str | None, name: str) -> list[tuple]:
+        """Of every line that isn't blank: its number, characters, flags, and the keys by which pages are compared: the line's,
+        its first mark's, those of its menu items, with the characters of each. The flags tell lines that can be titles in
+        a list, the page's own heading, and trails that end in it. A line without letters has the key 0, as has what has
+        no mark."""
+        heading, out = heading_of(title, name), []
+        for number, raw in enumerate(text.split("\n")):
+            line = raw.strip()
+            if not line:
+                continue
+            known = self.seen.get((line, name))
+            if known is None:
+                known = self._line(line, name)
+                if len(line) <= 100 and len(self.seen) < self.most:
+                    self.seen[line, name] = known
+            low, flags, key, mark, items, sizes = known
+            if heading and low.endswith(heading):
+                flags += _OWN if low == heading else _TRAIL * any(low.endswith(f" {s} {heading}") for s in "/>»›")
+            out.append((number, len(line), flags, key, mark, items, sizes))
+        return out
 
 
 def composite_density(chars: float, tags: float, link_chars: float, link_tags: float, body_share: float) -> float:
@@ -104,8 +126,10 @@ def composite_density(chars: float, tags: float, link_chars: float, link_tags: f
     return chars / tags * math.log(chars / link_chars * tags / link_tags) / math.log(base)
 
 
-def linked_shares(lines: list[tuple], known: dict[int, float], labels: dict[int, float]) -> list[float]:
-    """Of each line of :func:`line_features` the share that stands in links, from the evidence for the keys of its site."""
+def linked_shares(lines: Iterable[tuple], known: dict[int, tuple[float, float]]) -> list[float]:
+    """Of each line of :meth:`_Reader.page` the share that stands in links, from the linked share and the label rate that its
+    site's pages give its keys."""
+    none = (0.0, 0.0)
     out, listing = [], 0.0
     for _, chars, flags, key, mark, items, sizes in lines:
         if flags & _OWN:
@@ -113,10 +137,12 @@ def linked_shares(lines: list[tuple], known: dict[int, float], labels: dict[int,
         elif flags & _TRAIL:
             share, listing = TOP, 0.0
         else:
-            of_items = sum(n * known.get(k, 0.0) for k, n in zip(items, sizes)) / max(1, sum(sizes))
-            share = max(known.get(key, 0.0), known.get(mark, 0.0), of_items)
-            label = labels.get(key, 0.0) if flags & _LISTED else 0.0
-            if label:
+            share, label = known.get(key, none)
+            if mark:
+                share = max(share, known.get(mark, none)[0])
+            if items:
+                share = max(share, sum(n * known.get(k, none)[0] for k, n in zip(items, sizes)) / sum(sizes))
+            if label and flags & _LISTED:
                 share, listing = max(share, label), label
             elif share >= 0.5 or not flags & _LISTED:
                 listing = 0.0
@@ -135,24 +161,23 @@ def main_lines(chars: list[int], shares: list[float]) -> list[int]:
     """
     if not chars:
         return []
-    linked = sum(c * s for c, s in zip(chars, shares))
-    body = linked / sum(chars)
+    body = sum(c * s for c, s in zip(chars, shares)) / sum(chars)
 
-    def density(places: list[int]) -> float:
+    def per_character(places: Sequence[int]) -> float:
         c, lc = sum(chars[i] for i in places), sum(chars[i] * shares[i] for i in places)
-        return composite_density(c, len(places), lc, sum(shares[i] for i in places), body)
+        return composite_density(c, len(places), lc, sum(shares[i] for i in places), body) * len(places) / c
 
+    of_line = [composite_density(c, 1, c * s, s, body) for c, s in zip(chars, shares)]
     runs: list[list[int]] = []
     for i, share in enumerate(shares):
-        if not runs or (shares[runs[-1][-1]] < 0.5) != (share < 0.5):
+        if not i or (shares[i - 1] < 0.5) != (share < 0.5):
             runs.append([])
         runs[-1].append(i)
-    core = max(runs, key=lambda run: sum(density([i]) for i in run))
+    core = max(runs, key=lambda run: sum(of_line[i] for i in run))
     if shares[core[0]] >= 0.5:
         return []
-    per_character = lambda places: density(places) * len(places) / sum(chars[i] for i in places)
-    threshold = min(per_character(core), per_character(list(range(len(chars)))))
-    return [i for i in range(len(chars)) if per_character([i]) >= threshold]
+    threshold = min(per_character(core), per_character(range(len(chars))))
+    return [i for i, c in enumerate(chars) if of_line[i] / c >= threshold]
 
 
 def _site(url: Column) -> Column:
@@ -165,7 +190,14 @@ def _name(site: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(site, r"([^.]+)\.[^.]+$", 1), F.lit("")), site)
 
 
-_FEATURES = "no array<int>, chars array<int>, flags array<int>, keys array<long>, marks array<long>, items array<array<long>>, item_chars array<array<int>>"
+_FEATURES = "no array<int>, chars array<int>, flags array<int>, keys array<long>, marks array<long>, items array<long>, item_chars array<int>, item_counts array<int>"
+
+
+def _lists(column: pa.ListArray) -> list[list]:
+    """The lists of an Arrow column as Python lists, by one conversion of all values."""
+    values, at = column.flatten().to_numpy(zero_copy_only=False).tolist(), column.offsets.to_numpy()
+    at = (at - at[0]).tolist()
+    return [values[a:b] for a, b in zip(at, at[1:])]
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
@@ -175,10 +207,14 @@ def _keyed(pages: DataFrame) -> DataFrame:
     rows = pages.where("page_id is not null and text is not null").select("page_id", site.alias("site"), _name(site).alias("name"), F.xxhash64(address).alias("at"), "title", "text")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = _Reader()
         for pdf in batches:
-            features = [list(zip(*line_features(t, h, n))) or [()] * 7 for t, h, n in zip(pdf.text, pdf.title, pdf.name)]
-            columns = dict(zip(("no", "chars", "flags", "keys", "marks", "items", "item_chars"), map(list, zip(*features))))
-            yield pd.DataFrame({"page_id": pdf.page_id, "site": pdf.site, "at": pdf["at"], "same": [_hash(t) for t in pdf.text], **columns})
+            rows = []
+            for text, title, name in zip(pdf.text, pdf.title, pdf.name):
+                *flat, items, sizes = list(zip(*reader.page(text, title, name))) or [()] * 7
+                rows.append((_hash(text), *flat, list(chain.from_iterable(items)), list(chain.from_iterable(sizes)), list(map(len, items))))
+            names = ["same", *(c.split()[0] for c in _FEATURES.split(", "))]
+            yield pd.concat([pdf[["page_id", "site", "at"]], pd.DataFrame(rows, columns=names)], axis=1)
 
     return rows.mapInPandas(read, f"page_id long, site string, at long, same long, {_FEATURES}")
 
@@ -196,7 +232,7 @@ def evidence(keyed: DataFrame, share: float = SHARE, least_pages: int = 8) -> Da
     seen = keyed.join(once.select("page_id"), "page_id", "left_semi")
     sites = written(seen.groupBy("site").agg(F.count("*").alias("n")), "page-sites")
     entry = lambda c, mark: F.transform(c, lambda k: F.struct(k.alias("key"), F.lit(mark).alias("mark")))
-    every = F.array_distinct(F.concat(entry("keys", False), entry("marks", True), entry(F.flatten("items"), False)))
+    every = F.array_distinct(F.concat(entry("keys", False), entry("marks", True), entry("items", False)))
     shown = seen.select("site", F.explode(every).alias("k")).select("site", "k.key", "k.mark").where("key <> 0")
     times = shown.groupBy("site", "key", "mark").agg(F.count("*").alias("times"))
     times = written(join_per_key(times, sites, ["site"], "n"), "page-keys")
@@ -233,21 +269,29 @@ def main_body(pages: DataFrame, share: float = SHARE) -> DataFrame:
     per_site = written(evidence(keyed, share), "page-evidence")
     names = [c.split()[0] for c in _FEATURES.split(", ")]
     ready = join_per_key(keyed.select("page_id", "site", *names), per_site, ["site"], "n")
-    ready = ready.select("page_id", *names, F.col("known.key").alias("known"), F.col("known.linked").alias("linked"), F.col("known.label").alias("label"))
+    ready = ready.select("page_id", "site", *names, F.col("known.key").alias("key"), F.col("known.linked").alias("linked"), F.col("known.label").alias("label"))
 
-    def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sites: dict[str, dict[int, tuple[float, float]]] = {}
+        for batch in batches:
             ids, numbers = [], []
-            for row in pdf.itertuples(index=False):
-                known = dict(zip(row.known.tolist(), row.linked.tolist()))
-                labels = {k: v for k, v in zip(row.known.tolist(), row.label.tolist()) if v}
-                flat = [x.tolist() for x in (row.no, row.chars, row.flags, row.keys, row.marks, row.items, row.item_chars)]
-                kept = main_lines(flat[1], linked_shares(list(zip(*flat)), known, labels))
-                ids += [row.page_id] * len(kept)
-                numbers += [flat[0][i] for i in kept]
-            yield pd.DataFrame({"page_id": pd.Series(ids, dtype="int64"), "line_no": pd.Series(numbers, dtype="int32")})
-
-    return ready.mapInPandas(bodies, "page_id long, line_no int")
+            keys, linked, labels = (batch.column(c) for c in ("key", "linked", "label"))
+            flat = [_lists(batch.column(c)) for c in names]
+            for i, (page, site) in enumerate(zip(batch.column("page_id").to_pylist(), batch.column("site").to_pylist())):
+                known = sites.get(site)
+                if known is None:
+                    if len(sites) >= 1000:
+                        sites.clear()
+                    known = sites[site] = dict(zip(keys[i].as_py(), zip(linked[i].as_py(), labels[i].as_py())))
+                no, chars, flags, line_keys, marks, items, sizes, counts = (c[i] for c in flat)
+                at = list(accumulate(counts, initial=0))
+                lines = ((0, 0, f, k, m, items[a:b], sizes[a:b]) for f, k, m, a, b in zip(flags, line_keys, marks, at, at[1:]))
+                kept = main_lines(chars, linked_shares(lines, known))
+                ids += [page] * len(kept)
+                numbers += [no[j] for j in kept]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], names=["page_id", "line_no"])
+
+    return ready.mapInArrow(bodies, "page_id long, line_no int")
 
 
 def body_text(pages: DataFrame, share: float = SHARE) -> DataFrame:
