@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from loomtext.functions.snippets import py_highlight
 from loomtext.operators.index import Index, corpus_stats, top_terms
 from loomtext.operators.scoring import BM25, TfIdf
-from loomtext.operators.search import best, rank, shown
-from loomtext.operators.semantic import Encoder, SemanticIndex, retrieve
-from loomtext.plans.query import parse
+from loomtext.operators.search import best
+from loomtext.operators.semantic import Encoder, SemanticIndex, ranking_of, with_titles
+from loomtext.scratch import written
 from loomtext.timing import timed
 
 #: Limits of the parameters.
@@ -63,18 +63,13 @@ class SearchResponse:
 def execute_search(index: Index, params: SearchParams, semantic: SemanticIndex | None = None, encoder: Encoder | None = None) -> SearchResponse:
     """One page. Past the last page there are no results, but the total stays.
 
-    ``k * page`` rows at most are ranked on; texts are read for the rows of the page only in keyword mode.
+    The ranking is written once, for the total and the page; texts are read for the rows of the page only. The total counts
+    what the mode finds: matches, documents with passages, or in hybrid mode either.
     """
-    if params.mode == "keyword":
-        query = parse(params.q)
-        ranking = rank(index, query, SCORERS[params.scorer]())
-        total = ranking.count()
-        top = best(ranking, params.k * params.page).where(F.col("rank") > params.k * (params.page - 1))
-        rows = shown(top, index.docs, query)
-    else:
-        rows = retrieve(index, params.q, None, params.k * params.page, mode=params.mode, semantic=semantic, encoder=encoder)
-        total = semantic.passages.select("doc_id").distinct().count() if params.mode == "semantic" else index.docs.count()
-        rows = rows.where(F.col("rank") > params.k * (params.page - 1))
+    ranking = written(ranking_of(index, params.q, SCORERS[params.scorer](), params.mode, semantic, encoder), "service-ranking")
+    total = ranking.count()
+    top = best(ranking, params.k * params.page).where(F.col("rank") > params.k * (params.page - 1))
+    rows = with_titles(top, index, params.q, params.mode)
     found = [{**r.asDict(), "html": py_highlight(r.snippet)} for r in rows.orderBy("rank").collect()]
     return SearchResponse(total, -(-total // params.k), params.page, found)
 

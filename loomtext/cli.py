@@ -1,9 +1,10 @@
-"""Command line: index, crawl, search, stats, embed. Errors are one line and exit status 1."""
+"""Command line: index, crawl, search, stats, embed, serve. Errors are one line and exit status 1."""
 
 from __future__ import annotations
 
 import argparse
 import asyncio
+import json
 import sys
 
 from pyspark.sql import SparkSession
@@ -18,7 +19,7 @@ def _index(args) -> None:
     from loomtext.sources.corpus import numbered, read_corpus
     from loomtext.sources.store import save
 
-    save(build_index(numbered(read_corpus(_spark(), args.corpus, args.on_error)), not args.no_positions), args.target)
+    save(build_index(numbered(read_corpus(_spark(), args.corpus, args.on_error, args.limit)), not args.no_positions, tokens_once=True), args.target)
 
 
 def _search(args) -> None:
@@ -48,27 +49,49 @@ def _search(args) -> None:
 
 
 def _stats(args) -> None:
-    from loomtext.operators.index import corpus_stats, top_terms
+    """Of a saved index, or straight from a corpus."""
+    from loomtext.api import stats
+    from loomtext.operators.index import build_index
+    from loomtext.sources.corpus import numbered, read_corpus
     from loomtext.sources.store import load
 
-    index = load(_spark(), args.index, validate=False)
-    s = corpus_stats(index).first()
-    print(f"documents {s.documents}\ntokens {s.tokens}\nterms {s.terms}\naverage length {s.average_length:.2f}")
-    for r in top_terms(index.postings, args.top).collect():
-        print(f"{r.cf:>10}  {r.term}")
+    spark = _spark()
+    if args.corpus:
+        index = build_index(numbered(read_corpus(spark, args.source, "skip", args.limit)), False, tokens_once=True)
+    else:
+        index = load(spark, args.source, validate=False)
+    s = stats(index, args.top)
+    if args.json:
+        print(json.dumps(s, ensure_ascii=False))
+        return
+    print(f"documents {s['documents']}\ntokens {s['tokens']}\nterms {s['terms']}\naverage length {s['average_length']:.2f}")
+    for term, times in s["top"]:
+        print(f"{times:>10}  {term}")
 
 
 def _embed(args) -> None:
     from loomtext.operators.semantic import HashingEncoder, SemanticIndex
     from loomtext.sources.store import load
 
-    SemanticIndex.build(load(_spark(), args.index, validate=False), HashingEncoder(args.dim)).save(args.target)
+    spark = _spark()
+    known = SemanticIndex.load(spark, args.resume, dim=args.dim) if args.resume else None
+    SemanticIndex.build(load(spark, args.index, validate=False), HashingEncoder(args.dim), known=known).save(args.target)
+
+
+def _serve(args) -> None:
+    from loomtext.service import serve
+    from loomtext.sources.store import load
+
+    serve(load(_spark(), args.index, validate=False), args.host, args.port)
 
 
 def _crawl(args) -> None:
-    from loomtext.sources.crawl import collect
+    from contextlib import nullcontext
 
-    stats = asyncio.run(collect(args.seed, args.target, most_pages=args.pages, workers=args.workers, delay=args.delay))
+    from loomtext.sources.crawl import collect, crawl_log
+
+    with crawl_log(args.log) if args.log else nullcontext():
+        stats = asyncio.run(collect(args.seed, args.target, most_pages=args.pages, workers=args.workers, delay=args.delay))
     print(f"pages {stats.pages}, requests {stats.requests}, blocked {stats.blocked}, failed {stats.failed}")
 
 
@@ -83,15 +106,19 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(*flags, **options)
 
     arg = lambda *flags, **options: (flags, options)
-    command("index", _index, arg("corpus"), arg("target"), arg("--no-positions", action="store_true"), arg("--on-error", choices=["skip", "fail"], default="fail"))
+    command("index", _index, arg("corpus"), arg("target"), arg("--no-positions", action="store_true"), arg("--on-error", choices=["skip", "fail"], default="fail"), arg("--limit", type=int))
     command(
         "search", _search, arg("index"), arg("query"), arg("-k", type=int, default=10), arg("--scorer", choices=["bm25", "tfidf"], default="bm25"),
         arg("--mode", choices=["keyword", "semantic", "hybrid"], default="keyword"), arg("--embeddings"), arg("--json", action="store_true"),
         arg("--boolean", action="store_true"), arg("--engine", choices=["columns", "sets"], default="columns"),
     )
-    command("stats", _stats, arg("index"), arg("--top", type=int, default=50))
-    command("embed", _embed, arg("index"), arg("target"), arg("--dim", type=int, default=64))
-    command("crawl", _crawl, arg("seed", nargs="+"), arg("target"), arg("--pages", type=int, default=500), arg("--workers", type=int, default=10), arg("--delay", type=float, default=0.2))
+    command(
+        "stats", _stats, arg("source"), arg("--corpus", action="store_true", help="source is a corpus, not an index"), arg("--limit", type=int), arg("--json", action="store_true"),
+        arg("--top", type=int, default=50),
+    )
+    command("serve", _serve, arg("index"), arg("--host", default="127.0.0.1"), arg("--port", type=int, default=8000))
+    command("embed", _embed, arg("index"), arg("target"), arg("--dim", type=int, default=64), arg("--resume", help="embeddings of an earlier run"))
+    command("crawl", _crawl, arg("seed", nargs="+"), arg("target"), arg("--pages", type=int, default=500), arg("--workers", type=int, default=10), arg("--delay", type=float, default=0.2), arg("--log"))
     return top
 
 

@@ -47,14 +47,18 @@ def _doc_columns(documents: DataFrame) -> list[Column]:
     return [F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), title.alias("title"), F.col("text")]
 
 
-def build_index(documents: DataFrame, positions: bool = True) -> Index:
+def build_index(documents: DataFrame, positions: bool = True, tokens_once: bool = False) -> Index:
     """Index of ``documents(doc_id, text[, path, title])``.
 
     Documents without tokens, null texts among them, are documents of length 0. Words of one document never leave its
-    row before they are counted, so the only shuffle of the build is by term and document, after partial counts.
+    row before they are counted, so the only shuffle of the build is by term and document, after partial counts. Where
+    both tables will be read, ``tokens_once`` writes the tokens first, so that texts are not tokenised for each of them.
     """
-    docs = documents.select(*_doc_columns(documents)).withColumn("length", F.size(tokens(F.col("text"))))
-    words = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
+    rows = documents.select(*_doc_columns(documents), tokens(F.col("text")).alias("_tokens"))
+    if tokens_once:
+        rows = written(rows, "index-tokens")
+    docs = rows.withColumn("length", F.size("_tokens")).drop("_tokens")
+    words = rows.select("doc_id", F.posexplode("_tokens").alias("pos", "term"))
     found = [F.count("*").cast("int").alias("tf")]
     if positions:
         found.append(F.sort_array(F.collect_list("pos")).alias("positions"))

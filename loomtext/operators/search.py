@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.snippets import with_snippets
-from loomtext.functions.text import tokens
+from loomtext.functions.text import title_or_stem, tokens
 from loomtext.operators.index import Index
 from loomtext.operators.scoring import BM25, Scorer, in_order
 from loomtext.plans.query import And, Not, Or, Phrase, Query, Term, parse, parse_left_to_right
+from loomtext.scratch import written
+
+
+#: The most results that are shown at once, with titles and snippets; whole rankings have no limit.
+MOST_K = 1_000_000
 
 
 def check_k(k: int) -> int:
-    """``k`` if it is a whole number of at least 0 (a Boolean is none), else a ``ValueError``."""
-    if type(k) is not int or k < 0:
-        raise ValueError("k must be a whole number of at least 0")
+    """``k`` if it is a whole number from 0 to :data:`MOST_K` (a Boolean is none), else a ``ValueError``."""
+    if type(k) is not int or not 0 <= k <= MOST_K:
+        raise ValueError(f"k must be a whole number from 0 to {MOST_K}")
     return k
 
 
@@ -86,6 +92,12 @@ def matched(index: Index, query: Query | str) -> DataFrame:
     return _matching(_view_of_index(index, query), query).select("doc_id")
 
 
+def matched_documents(documents: DataFrame, query: Query | str) -> DataFrame:
+    """:func:`matched` for documents without an index: one pass over the texts, no shuffle."""
+    query = _as_query(query)
+    return _matching(_view_of_documents(documents, query), query).select("doc_id")
+
+
 def matched_by_sets(index: Index, query: Query | str) -> DataFrame:
     """:func:`matched` by set algebra on document ids; a second lowering for tests and very selective queries."""
     query = _as_query(query)
@@ -115,20 +127,17 @@ def boolean_search(index: Index, query: str, engine: str = "columns") -> DataFra
     return (matched if engine == "columns" else matched_by_sets)(index, tree).orderBy("doc_id")
 
 
-def _scored(view: _View, query: Query, scorer: Scorer, frequency: DataFrame | None, docs: DataFrame) -> DataFrame:
-    """Matching rows with ``score``: the sum over positive terms, in code point order, of those a document has."""
-    positive = sorted(query.terms())
-    ats = [view.terms.index(t) for t in positive]
-    if frequency is None:
-        whole = view.rows.agg(
-            F.count("*").cast("double").alias("n_docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average"), *(F.count(f"tf{i}").cast("double").alias(f"df{i}") for i in ats)
-        )
-    else:
-        whole = docs.agg(F.count("*").cast("double").alias("n_docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average")).crossJoin(frequency)
+def _scored(view: _View, query: Query, scorer: Scorer, statistics: Callable[[str], Column], rows: DataFrame) -> DataFrame:
+    """``(doc_id, score)`` of ``rows`` of a view that match: the sum over positive terms, in code point order, of those a
+    document has. ``statistics`` gives ``n_docs``, ``average`` and of the i-th term ``df{i}``."""
     part = lambda i: F.coalesce(
-        scorer.part(F.col(f"tf{i}").cast("double"), F.col(f"df{i}"), F.col("length").cast("double"), F.col("n_docs"), F.col("average")), F.lit(0.0)
+        scorer.part(F.col(f"tf{i}").cast("double"), statistics(f"df{i}"), F.col("length").cast("double"), statistics("n_docs"), statistics("average")), F.lit(0.0)
     )
-    return _matching(view, query).crossJoin(F.broadcast(whole)).select("doc_id", in_order([part(i) for i in ats]).alias("score"))
+    return rows.select("doc_id", in_order([part(view.terms.index(t)) for t in sorted(query.terms())]).alias("score"))
+
+
+def _whole() -> list[Column]:
+    return [F.count("*").cast("double").alias("n_docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average")]
 
 
 def rank(index: Index, query: Query | str, scorer: Scorer | None = None) -> DataFrame:
@@ -137,13 +146,23 @@ def rank(index: Index, query: Query | str, scorer: Scorer | None = None) -> Data
     view = _view_of_index(index, query)
     counts = [F.count_if(F.col("term") == t).cast("double").alias(f"df{i}") for i, t in enumerate(view.terms)]
     frequency = index.postings.where(F.col("term").isin(view.terms)).agg(*counts)
-    return _scored(view, query, scorer or BM25(), frequency, index.docs)
+    whole = F.broadcast(index.docs.agg(*_whole()).crossJoin(frequency))
+    return _scored(view, query, scorer or BM25(), F.col, _matching(view, query).crossJoin(whole))
 
 
 def rank_documents(documents: DataFrame, query: Query | str, scorer: Scorer | None = None) -> DataFrame:
-    """:func:`rank` for a single query over documents that have no index: two passes over the texts, no shuffle of them."""
+    """:func:`rank` for a single query over documents that have no index: one pass over the texts, no shuffle of them.
+
+    The pass runs at once: it writes the matching rows, a few numbers each, and observes the statistics of all rows on
+    the way, so that nothing is tokenised twice.
+    """
     query = _as_query(query)
-    return _scored(_view_of_documents(documents, query), query, scorer or BM25(), None, documents)
+    view = _view_of_documents(documents, query)
+    seen = Observation()
+    counts = [F.count(f"tf{i}").cast("double").alias(f"df{i}") for i in range(len(view.terms))]
+    rows = written(_View(view.rows.observe(seen, *_whole(), *counts), view.terms).rows.where(query.column(view.has, view.places)), "ranking-rows")
+    whole = seen.get
+    return _scored(view, query, scorer or BM25(), lambda name: F.lit(whole[name]), rows)
 
 
 def best(ranking: DataFrame, k: int, digits: int | None = None) -> DataFrame:
@@ -166,8 +185,8 @@ def search(source: Index | DataFrame, query: Query | str, scorer: Scorer | None
 
 
 def shown(top: DataFrame, docs: DataFrame, query: Query) -> DataFrame:
-    """``top`` with title, path and snippet; it has at most k rows, so its broadcast has a proven bound."""
-    rows = docs.select("doc_id", "title", "path", "text").join(F.broadcast(top), "doc_id")
+    """``top`` with title (or the file's name), path and snippet; it has at most :data:`MOST_K` rows, which bounds its broadcast."""
+    rows = docs.select("doc_id", title_or_stem(F.col("title"), F.col("path")).alias("title"), "path", "text").join(F.broadcast(top), "doc_id")
     return with_snippets(rows, query.terms()).select("rank", "doc_id", "score", "title", "path", "snippet")
 
 
@@ -175,7 +194,7 @@ def search_page(source: Index | DataFrame, query: Query | str, scorer: Scorer |
     """``(total, pages, rank, doc_id, score)``: one page of the ranking; a page past the end is one row with null ``doc_id``."""
     if type(page) is not int or page < 1 or check_k(k) < 1:
         raise ValueError("page and k must be at least 1")
-    ranking = _ranking(source, _as_query(query), scorer)
+    ranking = written(_ranking(source, _as_query(query), scorer), "page-ranking")
     total = ranking.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / F.lit(k)))
     rows = best(ranking, k * page, digits).where(F.col("rank") > k * (page - 1))
     return total.join(rows, F.lit(True), "left").select("total", "pages", "rank", "doc_id", "score")

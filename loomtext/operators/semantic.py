@@ -17,7 +17,7 @@ from loomtext.functions.text import py_tokens, word_chunks
 from loomtext.functions.vectors import dot, literal
 from loomtext.operators.index import Index, fingerprint
 from loomtext.operators.scoring import BM25, Scorer
-from loomtext.operators.search import best, check_k, rank, search
+from loomtext.operators.search import best, check_k, rank, shown
 from loomtext.plans.query import any_of, parse
 from loomtext.scratch import written
 
@@ -84,11 +84,49 @@ def similarities(rows: DataFrame, query: list[float], vector: str = "embedding")
     return rows.withColumn("sim", F.when(F.size(v) == len(query), dot(v, literal(query))).otherwise(wrong))
 
 
+def nearest_to_each(rows: DataFrame, queries: DataFrame, item: str, k: int = 10, block: int = 4096, vector: str = "embedding") -> DataFrame:
+    """``(query_id, item, sim, place)``: of every row of ``queries(query_id, embedding)`` the ``k`` rows most similar by dot
+    product, equal ones (to six decimals) by smaller id; a row whose id is the query's is left out.
+
+    Exact: every query meets every row, in blocks. The queries are a stated set, sent out ``block`` at a time, which bounds
+    what a task holds; a block is one matrix product a batch of rows, of which each task keeps its ``k`` best per query.
+    All vectors must have one length; a null one takes no part; an empty side gives no rows.
+    """
+    known = queries.where(F.col(vector).isNotNull()).select("query_id", vector)
+    blocks = max(1, -(-known.count() // block))
+    placed = written(known.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "nearest-queries")
+    usable = rows.where(F.col(vector).isNotNull()).select(F.col(item).cast("long").alias("item"), F.col(vector).alias("v"))
+    found = rows.sparkSession.createDataFrame([], "query_id long, item long, sim double")
+    for part in range(blocks):
+        some = placed.where(F.col("_block") == part).select("query_id", vector).collect()
+        if not some:
+            continue
+        ids, matrix = np.array([r[0] for r in some]), np.array([r[1] for r in some], dtype=np.float64)
+
+        def best_of(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
+            kept = pd.DataFrame({"query_id": ids[:0], "item": ids[:0], "sim": np.empty(0)})
+            for pdf in batches:
+                for a in range(0, len(pdf), 1024):
+                    items, v = pdf["item"].to_numpy()[a : a + 1024], np.stack(pdf["v"].iloc[a : a + 1024].to_numpy())
+                    sims = np.round(matrix @ v.astype(np.float64).T, 6)
+                    # the query itself may be among the best of the batch
+                    least = -np.partition(-sims, k, axis=1)[:, k] if len(items) > k else np.full(len(ids), -np.inf)
+                    q, i = np.nonzero((sims >= least[:, None]) & (ids[:, None] != items[None, :]))
+                    kept = pd.concat([kept, pd.DataFrame({"query_id": ids[q], "item": items[i], "sim": sims[q, i]})])
+                    kept = kept.sort_values(["query_id", "sim", "item"], ascending=[True, False, True]).groupby("query_id").head(k)
+            yield kept
+
+        found = found.unionByName(usable.mapInPandas(best_of, "query_id long, item long, sim double"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "item")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query_id", F.col("item").alias(item), "sim", "place")
+
+
 def semantic_rank(rows: DataFrame, query: list[float], snippet: int = 240) -> DataFrame:
     """``(doc_id, score, snippet)``: the best passage of each document of ``(passage_id, doc_id, passage, embedding)``;
-    of equally good ones the first. Documents without passages don't appear."""
+    of equally good ones the first, by ``chunk`` where there is one, else by id. Documents without passages don't appear."""
     scored = similarities(rows, query)
-    first = F.min(F.struct((-F.col("sim")).alias("minus"), "passage_id", "passage")).alias("first")
+    nth = "chunk" if "chunk" in rows.columns else "passage_id"
+    first = F.min(F.struct((-F.col("sim")).alias("minus"), nth, "passage")).alias("first")
     top = scored.groupBy("doc_id").agg(first)
     return top.select("doc_id", (-F.col("first.minus")).alias("score"), F.substring("first.passage", 1, snippet).alias("snippet"))
 
@@ -127,16 +165,20 @@ def rrf(rankings: list[DataFrame], constant: int = 60) -> DataFrame:
 
 @dataclass(frozen=True)
 class SemanticIndex:
-    """``passages(passage_id, doc_id, passage, embedding)`` and the fingerprint of the documents they were made of."""
+    """``passages(passage_id, doc_id, chunk, passage, embedding)`` and the fingerprint of the documents they were made of."""
 
     passages: DataFrame
     corpus: str
     model: str = "hashing"
 
     @classmethod
-    def build(cls, index: Index, encoder: Encoder, model: str = "hashing", size: int = 160, overlap: int = 32) -> SemanticIndex:
-        rows = passages(index.docs, size, overlap).select((F.col("doc_id") * 2**20 + F.col("chunk")).alias("passage_id"), "doc_id", "passage")
-        return cls(embed(rows, encoder), fingerprint(index.docs).first()[0], model)
+    def build(cls, index: Index, encoder: Encoder, model: str = "hashing", size: int = 160, overlap: int = 32, known: SemanticIndex | None = None) -> SemanticIndex:
+        """Embeddings of all passages. With ``known``, an index of the same model over other or fewer documents, only
+        passages that it doesn't have are encoded. Ids are hashes of document and chunk, so document ids may be any."""
+        if known is not None and known.model != model:
+            raise ValueError("the known embeddings are of another model")
+        rows = passages(index.docs, size, overlap).select(F.xxhash64("doc_id", "chunk").alias("passage_id"), "doc_id", "chunk", "passage")
+        return cls(embed(rows, encoder, known=embedding_store(known.passages) if known is not None else None), fingerprint(index.docs).first()[0], model)
 
     def save(self, path: str) -> None:
         self.passages.write.parquet(f"{path}/passages")
@@ -161,29 +203,47 @@ class SemanticIndex:
         return semantic_rank(self.passages, encoder.encode([query])[0].tolist())
 
 
-def retrieve(index: Index, query: str, scorer: Scorer | None = None, k: int = 10, mode: str = "keyword", semantic: SemanticIndex | None = None, encoder: Encoder | None = None) -> DataFrame:
-    """``(rank, doc_id, score, title, path, snippet)`` in one of three modes.
-
-    ``keyword`` is :func:`~loomtext.operators.search.search`; ``semantic`` ranks by the best passage; ``hybrid`` fuses the
-    full semantic ranking with the full BM25 ranking of the query's distinct words, whatever ``scorer`` is.
-    """
-    check_k(k)
+def check_retrieval(query: str, mode: str, semantic: SemanticIndex | None, encoder: Encoder | None) -> None:
     if not query.strip():
         raise ValueError("the query is blank")
-    if mode == "keyword":
-        return search(index, parse(query), scorer, k)
-    if mode not in ("semantic", "hybrid") or semantic is None or encoder is None:
+    if mode not in ("keyword", "semantic", "hybrid") or mode != "keyword" and (semantic is None or encoder is None):
         raise ValueError("mode is keyword, semantic or hybrid; the last two need an index of embeddings and an encoder")
+
+
+def ranking_of(
+    index: Index, query: str, scorer: Scorer | None = None, mode: str = "keyword", semantic: SemanticIndex | None = None, encoder: Encoder | None = None, digits: int | None = None
+) -> DataFrame:
+    """``(doc_id, score, snippet)`` of all that a mode finds: ``keyword`` the matches of a query, ``semantic`` the documents
+    with passages by their best one, ``hybrid`` both rankings in full, fused; its keyword side is BM25 of the query's
+    distinct words, whatever ``scorer`` is. ``snippet`` is the best passage's begin, null where there is none."""
+    check_retrieval(query, mode, semantic, encoder)
+    if mode == "keyword":
+        return rank(index, parse(query), scorer).withColumn("snippet", F.lit(None).cast("string"))
     near = semantic.rank(query, encoder)
     if mode == "semantic":
-        top = best(near.select("doc_id", "score"), k)
-    else:
-        words = py_tokens(query)
-        lists = [ranked(rank(index, any_of(words), BM25()))] if words else []
-        top = best(rrf([*lists, ranked(near.select("doc_id", "score"))]), k)
-    shown = F.broadcast(top).join(index.docs.select("doc_id", "title", "path", "text"), "doc_id").join(near.select("doc_id", F.col("snippet").alias("_near")), "doc_id", "left")
-    if mode == "hybrid" and words:
-        shown = with_snippets(shown, set(words)).withColumn("snippet", F.coalesce(F.nullif("snippet", F.lit("")), "_near"))
-    else:
-        shown = shown.withColumn("snippet", F.col("_near"))
-    return shown.select("rank", "doc_id", "score", "title", "path", F.coalesce("snippet", F.lit("")).alias("snippet"))
+        return near
+    near = written(near, "semantic-ranking")
+    words = py_tokens(query)
+    lists = [ranked(rank(index, any_of(words), BM25()), digits)] if words else []
+    return rrf([*lists, ranked(near.select("doc_id", "score"), digits)]).join(near.select("doc_id", "snippet"), "doc_id", "left")
+
+
+def retrieve(
+    index: Index, query: str, scorer: Scorer | None = None, k: int = 10, mode: str = "keyword", semantic: SemanticIndex | None = None, encoder: Encoder | None = None, digits: int | None = None
+) -> DataFrame:
+    """``(rank, doc_id, score, title, path, snippet)`` of the first ``k`` of :func:`ranking_of`; equal scores, to ``digits``
+    decimals if given, by smaller id."""
+    check_k(k)
+    ranking = ranking_of(index, query, scorer, mode, semantic, encoder, digits)
+    return with_titles(best(ranking, k, None if digits is None else digits + 3), index, query, mode)
+
+
+def with_titles(top: DataFrame, index: Index, query: str, mode: str) -> DataFrame:
+    """``top`` rows of :func:`ranking_of` with title, path and snippet: around the words found, else the passage's begin."""
+    if mode == "keyword":
+        return shown(top.drop("snippet"), index.docs, parse(query))
+    rows = index.docs.select("doc_id", "title", "path", "text").join(F.broadcast(top.withColumnRenamed("snippet", "_near")), "doc_id")
+    words = set(py_tokens(query)) if mode == "hybrid" else set()
+    own = with_snippets(rows, words) if words else rows.withColumn("snippet", F.lit(None).cast("string"))
+    snippet = F.coalesce(F.nullif("snippet", F.lit("")), "_near", F.lit(""))
+    return own.select("rank", "doc_id", "score", "title", "path", snippet.alias("snippet"))

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import snippets, vectors, web
 from loomtext.functions.text import tokens
 from loomtext.operators import index as ix
 from loomtext.operators import quality, scoring, search, semantic
-from loomtext.plans.query import parse, parse_left_to_right
 from loomtext.scratch import scratch_path
 from loomtext.skew import spread
+from loomtext.sources import store
 from loomtext.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +42,21 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def index(spark: SparkSession, folder: str) -> ix.Index:
-    return ix.build_index(documents(spark, folder))
+    """An index of which both tables are read."""
+    return ix.build_index(documents(spark, folder), tokens_once=True)
+
+
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def saved_index(spark: SparkSession, folder: str) -> ix.Index:
+    """The documents' index as saved, built at the first query of an application over a folder and read by all later ones."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _SAVED:
+        path = scratch_path(spark, "saved-index")
+        store.save(index(spark, folder), path)
+        _SAVED[key] = path
+    return store.load(spark, _SAVED[key], validate=False)
 
 
 # SQL building blocks -------------------------------------------------------------------------------------------------
@@ -88,12 +103,12 @@ def index_postings(spark, folder):
 
 @query(f"with {_DOCS} select term, doc_id, array_to_string(positions, ',') as positions from posts")
 def index_positions(spark, folder):
-    return index(spark, folder).postings.select("term", "doc_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+    return ix.build_index(documents(spark, folder)).postings.select("term", "doc_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 @query(f"with {_DOCS} select doc_id, length from lengths")
 def doc_lengths(spark, folder):
-    return index(spark, folder).docs.select("doc_id", "length")
+    return ix.build_index(documents(spark, folder)).docs.select("doc_id", "length")
 
 
 @query(f"with {_DOCS} select term, df::bigint as df from freq")
@@ -104,7 +119,7 @@ def term_df(spark, folder):
 @query(f"""with {_DOCS} select (select count(*) from lengths) as documents, (select sum(length)::bigint from lengths) as tokens,
     (select count(*) from freq) as terms, round(average, 6) as average_length from whole""")
 def corpus_stats(spark, folder):
-    return ix.corpus_stats(ix.build_index(documents(spark, folder), positions=False)).withColumn("average_length", F.round("average_length", 6))
+    return ix.corpus_stats(ix.build_index(documents(spark, folder), positions=False, tokens_once=True)).withColumn("average_length", F.round("average_length", 6))
 
 
 @query(f"with {_DOCS} select term, count(*) as df, sum(tf)::bigint as cf from posts group by term order by cf desc, term limit 50")
@@ -150,12 +165,8 @@ def doc_lookup(spark, folder):
 # Boolean queries -----------------------------------------------------------------------------------------------------
 
 
-def _match(text: str, parser=parse):
-    return lambda spark, folder: search._matching(search._view_of_documents(documents(spark, folder), parser(text)), parser(text)).select("doc_id")
-
-
-def _matches(name: str, text: str, sql: str, parser=parse) -> None:
-    QUERIES[name], SQL[name] = _match(text, parser), f"with {_DOCS} {sql}"
+def _matches(name: str, text: str, sql: str) -> None:
+    QUERIES[name], SQL[name] = lambda spark, folder: search.matched_documents(documents(spark, folder), text), f"with {_DOCS} {sql}"
 
 
 _matches("q_term", "the", f"select doc_id from {_has('the')}")
@@ -163,7 +174,17 @@ _matches("q_phrase", '"see the"', f"select doc_id from {_phrase('see', 'the')}")
 _matches("q_and", "the AND buffer", f"select doc_id from {_has('the')} intersect select doc_id from {_has('buffer')}")
 _matches("q_or", "der OR buffer", f"select doc_id from {_has('der')} union select doc_id from {_has('buffer')}")
 _matches("q_not", 'NOT (the OR "la copia")', f"select doc_id from lengths except select doc_id from {_has('the')} except select doc_id from {_phrase('la', 'copia')}")
-_matches("q_boolean_ltr", "buffer OR der the", f"(select doc_id from {_has('buffer')} union select doc_id from {_has('der')}) intersect select doc_id from {_has('the')}", parse_left_to_right)
+
+@query(f"with {_DOCS} (select doc_id from {_has('buffer')} union select doc_id from {_has('der')}) intersect select doc_id from {_has('the')}")
+def q_boolean_ltr(spark, folder):
+    """The left-to-right dialect, over the saved index."""
+    return search.boolean_search(saved_index(spark, folder), "buffer OR der the")
+
+
+@query(f"with {_DOCS} select doc_id from lengths except (select doc_id from {_has('the')} intersect select doc_id from {_has('of')})")
+def q_boolean_sets(spark, folder):
+    """The same tree by set algebra on document ids."""
+    return search.matched_by_sets(saved_index(spark, folder), "NOT (the of)")
 
 
 @query(f'with {_DOCS} (select doc_id from {_has("the")} union select doc_id from {_has("der")}) except select doc_id from {_phrase("the", "log", "says")}')
@@ -175,8 +196,7 @@ def q_compound(spark, folder):
 def _sets(name: str, f, op: str) -> None:
     def run(spark, folder):
         docs = documents(spark, folder)
-        one, other = (search._matching(search._view_of_documents(docs, parse(t)), parse(t)) for t in ("the", "of"))
-        return f(one, other)
+        return f(*(search.matched_documents(docs, t) for t in ("the", "of")))
 
     QUERIES[name], SQL[name] = run, f"with {_DOCS} select doc_id from {_has('the')} {op} select doc_id from {_has('of')}"
 
@@ -204,29 +224,39 @@ def tfidf_scores(spark, folder):
     return _rounded(scoring.document_scores(built, scoring.TfIdf(), ["the", "der"]))
 
 
-def _top(formula: str, k: int = 10, terms: str = "'buffer', 'queue'") -> str:
-    return f"""with {_DOCS}, ranked as (select doc_id, round(score, 6) as score from {_scores(formula, terms)}),
+def _top(formula: str, k: int = 10, terms: str = "'buffer', 'queue'", matching: str = "select doc_id from lengths") -> str:
+    return f"""with {_DOCS}, ranked as (select doc_id, round(score, 6) as score from {_scores(formula, terms)} where doc_id in ({matching})),
     top as (select *, row_number() over (order by score desc, doc_id)::int as rank from ranked)
     select rank, doc_id, score, title, path from top join docs_ using (doc_id) where rank <= {k}"""
 
 
 def _search(spark, folder, scorer):
-    docs = documents(spark, folder)
-    top = search.best(search.rank_documents(docs, "buffer OR queue", scorer), 10, digits=6)
-    shown = docs.join(F.broadcast(top), "doc_id")
-    return shown.select("rank", "doc_id", "score", "title", "path")
+    """Search without an index; snippets are Python's and checked by tests."""
+    found = search.search(documents(spark, folder), "buffer OR queue", scorer, k=10, digits=6)
+    return found.select("rank", "doc_id", "score", "title", "path")
 
 
-@query(_top(_BM25).replace("title, path from top", "documents.title, documents.path from top").replace("join docs_ using", "join documents using"))
+@query(_top(_BM25))
 def search_bm25(spark, folder):
     return _search(spark, folder, scoring.BM25())
 
 
-@query(_top(_TFIDF).replace("title, path from top", "documents.title, documents.path from top").replace("join docs_ using", "join documents using"))
+@query(_top(_TFIDF))
 def search_tfidf(spark, folder):
     return _search(spark, folder, scoring.TfIdf())
 
 
+@query(_top(_BM25))
+def search_index_bm25(spark, folder):
+    """The same over the saved index: of its postings only the row groups that can hold the terms are read."""
+    return search.search(saved_index(spark, folder), "buffer OR queue", k=10, digits=6).select("rank", "doc_id", "score", "title", "path")
+
+
+@query(_top(_BM25, terms="'see', 'the', 'buffer'", matching=f"select doc_id from {_phrase('see', 'the')} union select doc_id from {_has('buffer')}"))
+def search_index_phrase(spark, folder):
+    return search.search(saved_index(spark, folder), '"see the" OR buffer', k=10, digits=6).select("rank", "doc_id", "score", "title", "path")
+
+
 @query()
 def search_snippets(spark, folder):
     return search.search(documents(spark, folder), 'buffer (queue OR thread) NOT "see the"', k=10, digits=6)
@@ -253,18 +283,7 @@ _RUNS = r"""runs as (
       select *, row_number() over (partition by doc_id order by distinct_terms desc, hits desc, start) as place from windows) where place = 1""")
 def snippet_window(spark, folder):
     """Of each document the hit around which most distinct terms, then most hits, lie within 80 characters."""
-    terms = ("buffer", "queue", "the")
-
-    @F.pandas_udf("array<struct<begin: int, stop: int, term: string>>")
-    def spans(texts):
-        return texts.map(lambda t: [] if t is None else snippets.matching_spans(t, terms))
-
-    hits = documents(spark, folder).where("text is not null").select("doc_id", F.explode(spans("text")).alias("h")).select("doc_id", "h.begin", "h.term")
-    near = Window.partitionBy("doc_id").orderBy("begin").rangeBetween(-80, 80)
-    windows = hits.select("doc_id", "begin", F.size(F.collect_set("term").over(near)).alias("distinct_terms"), F.count("*").over(near).alias("hits"))
-    order = Window.partitionBy("doc_id").orderBy(F.desc("distinct_terms"), F.desc("hits"), "begin")
-    first = windows.withColumn("place", F.row_number().over(order)).where("place = 1")
-    return first.select("doc_id", F.col("begin").cast("long").alias("start"), "distinct_terms", "hits")
+    return snippets.best_windows(documents(spark, folder), ("buffer", "queue", "the"))
 
 
 @query(r"""select distinct snippet, regexp_replace(replace(replace(replace(replace(replace(snippet, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'),
@@ -273,19 +292,20 @@ def highlight(spark, folder):
     return table(spark, folder, "results").select("snippet").distinct().select("snippet", snippets.highlight(F.col("snippet")).alias("html"))
 
 
-@query("""with latest as (select query_id, doc_id, score from (
-      select *, row_number() over (partition by query_id, doc_id order by scored_at desc nulls last, score desc) as age
-      from results where scorer = 'bm25' and query_id is not null and doc_id is not null and score is not null and not isnan(score)) where age = 1),
-    first as (select query_id, doc_id from (select *, row_number() over (partition by query_id order by score desc, doc_id) as place from latest) where place <= 5),
+@query("""with latest as (select query_id, scorer, doc_id, score from (
+      select *, row_number() over (partition by query_id, scorer, doc_id order by scored_at desc nulls last, score desc) as age
+      from results where query_id is not null and scorer is not null and doc_id is not null and score is not null and not isnan(score)) where age = 1),
+    first as (select query_id, scorer, doc_id from (select *, row_number() over (partition by query_id, scorer order by score desc, doc_id) as place from latest) where place <= 5),
     rel as (select distinct query_id, docs.doc_id from (select query_id, unnest(relevant) as path from judgments) join docs using (path)),
-    hits as (select query_id, count(*) as hits from first join rel using (query_id, doc_id) group by query_id)
-    select query_id, coalesce(hits, 0) as hits, coalesce(hits, 0) / 5.0::double as precision from (select distinct query_id from rel) left join hits using (query_id)""")
+    hits as (select query_id, scorer, count(*) as hits from first join rel using (query_id, doc_id) group by all),
+    judged as (select query_id, scorer from (select distinct query_id from rel) cross join (select distinct scorer from latest))
+    select query_id, scorer, coalesce(hits, 0) as hits, coalesce(hits, 0) / 5.0::double as precision from judged left join hits using (query_id, scorer)""")
 def precision_at_k(spark, folder):
-    """P@5 of one scorer's latest results over all judged queries."""
-    rows = table(spark, folder, "results").where("scorer = 'bm25' and query_id is not null and doc_id is not null and score is not null and not isnan(score)")
-    latest = rows.groupBy("query_id", "doc_id").agg(F.max(F.struct("scored_at", "score")).alias("last")).select("query_id", "doc_id", "last.score")
+    """P@5 of every scorer's latest results over all judged queries."""
+    rows = table(spark, folder, "results").where("query_id is not null and scorer is not null and doc_id is not null and score is not null and not isnan(score)")
+    latest = rows.groupBy("query_id", "scorer", "doc_id").agg(F.max(F.struct("scored_at", "score")).alias("last")).select("query_id", "scorer", "doc_id", "last.score")
     judged = table(spark, folder, "judgments").select("query_id", F.explode("relevant").alias("path"))
-    return quality.precision_at_k(latest, judged.join(table(spark, folder, "docs").select("path", "doc_id"), "path"), 5)
+    return quality.precision_at_k(latest, judged.join(table(spark, folder, "docs").select("path", "doc_id"), "path"), 5, by=["scorer"])
 
 
 # passages and vectors ------------------------------------------------------------------------------------------------
@@ -332,6 +352,15 @@ def cosine_topk(spark, folder):
     return semantic.similarities(rows, _query_vector(rows)).select("passage_id", F.round("sim", 6).alias("sim")).orderBy(F.desc("sim"), "passage_id").limit(10)
 
 
+@query(f"""with {_VALID}, pairs as (
+      select a.passage_id as query_id, b.passage_id, round(list_dot_product(a.u, b.u), 6) as sim from unit a join unit b on a.passage_id % 100 = 0 and a.passage_id <> b.passage_id)
+    select query_id, passage_id, sim, place from (select *, row_number() over (partition by query_id order by sim desc, passage_id)::int as place from pairs) where place <= 5""")
+def cosine_each(spark, folder):
+    """The five most similar of all passages for every passage whose id is divisible by 100."""
+    rows = _unit(spark, folder)
+    return semantic.nearest_to_each(rows, rows.where("passage_id % 100 = 0").select(F.col("passage_id").alias("query_id"), "embedding"), "passage_id", 5)
+
+
 @query(f"""with {_VALID}, best as (select *, row_number() over (partition by doc_id order by sim desc, passage_id) as place from sims where doc_id is not null)
     select doc_id, round(sim, 6) as score, substr(passage, 1, 240) as snippet from best where place = 1""")
 def semantic_rank(spark, folder):
@@ -339,23 +368,55 @@ def semantic_rank(spark, folder):
     return _rounded(semantic.semantic_rank(rows.where("doc_id is not null"), _query_vector(rows)))
 
 
-@query(f"""with {_DOCS}, {_VALID},
+_FUSED = f"""with {_DOCS}, {_VALID},
     kw as (select doc_id, row_number() over (order by round(score, 6) desc, doc_id) as r from {_scores(_BM25, "'buffer', 'queue'")}),
     sem as (select doc_id, row_number() over (order by round(s, 6) desc, doc_id) as r from (select doc_id, max(sim) as s from sims where doc_id is not null group by doc_id)),
-    both_ as (select doc_id, round(sum(1.0 / (60 + r)), 9) as score from (select * from kw union all select * from sem) group by doc_id)
-    select doc_id, score from both_""")
-def hybrid_rrf(spark, folder):
+    both_ as (select doc_id, round(sum(1.0 / (60 + r)), 9) as score from (select * from kw union all select * from sem) group by doc_id)"""
+
+
+class _Given:
+    """An encoder that gives one vector, for passages whose vectors come with the data."""
+
+    def __init__(self, vector: list[float]):
+        self.vector = vector
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        return np.array([self.vector] * len(texts))
+
+
+def _semantic(spark, folder) -> tuple[semantic.SemanticIndex, _Given]:
     rows = _unit(spark, folder)
-    near = semantic.semantic_rank(rows.where("doc_id is not null"), _query_vector(rows)).select("doc_id", "score")
-    lists = [semantic.ranked(search.rank_documents(documents(spark, folder), "buffer OR queue"), digits=6), semantic.ranked(near, digits=6)]
-    return semantic.rrf(lists).withColumn("score", F.round("score", 9))
+    return semantic.SemanticIndex(rows.where("doc_id is not null"), ""), _Given(_query_vector(rows))
+
+
+@query(f"{_FUSED} select doc_id, score from both_")
+def hybrid_rrf(spark, folder):
+    known, encoder = _semantic(spark, folder)
+    fused = semantic.ranking_of(saved_index(spark, folder), "buffer queue", mode="hybrid", semantic=known, encoder=encoder, digits=6)
+    return fused.select("doc_id", F.round("score", 9).alias("score"))
+
+
+@query(f"""{_FUSED} select rank, doc_id, score, title, path from (select *, row_number() over (order by score desc, doc_id)::int as rank from both_) join docs_ using (doc_id)
+    where rank <= 10""")
+def retrieve_hybrid(spark, folder):
+    known, encoder = _semantic(spark, folder)
+    found = semantic.retrieve(saved_index(spark, folder), "buffer queue", k=10, mode="hybrid", semantic=known, encoder=encoder, digits=6)
+    return found.select("rank", "doc_id", "score", "title", "path")
+
+
+@query(f"""with {_DOCS}, {_VALID}, best as (select doc_id, round(max(sim), 9) as score from sims where doc_id is not null group by doc_id)
+    select rank, doc_id, score, title, path from (select *, row_number() over (order by score desc, doc_id)::int as rank from best) join docs_ using (doc_id) where rank <= 10""")
+def retrieve_semantic(spark, folder):
+    known, encoder = _semantic(spark, folder)
+    found = semantic.retrieve(saved_index(spark, folder), "buffer queue", k=10, mode="semantic", semantic=known, encoder=encoder, digits=6)
+    return found.select("rank", "doc_id", "score", "title", "path")
 
 
 # pages ---------------------------------------------------------------------------------------------------------------
 
 _CANONICAL = r"""(case when regexp_matches(trim(url), '^(?i)https?://[^/?#@\\]+') then
       lower(regexp_extract(trim(url), '^([^:]+)://', 1)) || '://' || regexp_replace(lower(regexp_extract(trim(url), '://([^/?#]+)', 1)), case when lower(trim(url)) like 'https%' then ':443$' else ':80$' end, '')
-      || regexp_replace(regexp_extract(trim(url), '://[^/?#]+([^?#]*)', 1), '/+$', '')
+      || coalesce(nullif(regexp_replace(regexp_extract(trim(url), '://[^/?#]+([^?#]*)', 1), '/+$', ''), ''), '/')
       || case when regexp_extract(trim(url), '\?([^#]*)', 1) <> '' then '?' || array_to_string(list_sort(string_split(regexp_extract(trim(url), '\?([^#]*)', 1), '&')), '&') else '' end end)"""
 
 
@@ -371,7 +432,7 @@ def url_origin(spark, folder):
 
 @query(f"select {_CANONICAL} as url, min(page_id) as page_id, count(*) as fetched from pages group by 1 having url is not null")
 def pages_dedup(spark, folder):
-    rows = table(spark, folder, "pages").select("page_id", web.canonical_url_native(F.col("url")).alias("url")).where("url is not null")
+    rows = table(spark, folder, "pages").select("page_id", web.canonical_url("url").alias("url")).where("url is not null")
     return rows.groupBy("url").agg(F.min("page_id").alias("page_id"), F.count("*").alias("fetched"))
 
 
@@ -399,10 +460,17 @@ def html_extract(spark, folder):
 
 @query(f"with {_DOCS} select term, df::bigint as df from freq")
 def stream_term_df(spark, folder):
-    """Documents as a stream of files, indexed batch by batch, then counted."""
+    """Documents as a stream of files, indexed batch by batch, then counted. Every third page arrives three times under
+    other spellings of its address, at first with other text; each counts once, with its last text."""
     source, target, state = (scratch_path(spark, n) for n in ("stream-in", "stream-index", "stream-state"))
-    url = F.concat(F.lit("https://docs.example/"), F.col("doc_id").cast("string"))
-    rows = documents(spark, folder).select(url.alias("url"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
-    rows.repartition(4).write.json(source)
+    number = F.col("doc_id").cast("string")
+    text = F.coalesce("text", F.lit(""))
+    page = lambda url, body, at: [url.alias("url"), F.coalesce("title", F.lit("")).alias("title"), body.alias("text"), F.lit(at).alias("fetched_at")]
+    docs = documents(spark, folder)
+    again = docs.where("doc_id % 3 = 0")
+    old = again.select(*page(F.concat(F.lit("HTTPS://Docs.Example:443/"), number, F.lit("/")), F.concat(F.lit("superseded "), text), "2025-01-01"))
+    old.unionByName(again.select(*page(F.concat(F.lit("https://docs.example/"), number, F.lit("#top")), F.lit("superseded twice"), "2025-01-02"))).repartition(2).write.json(source)
+    ingest.start_indexing(ingest.read_pages(spark, source, files_per_batch=1), target, state, positions=False).awaitTermination()
+    docs.select(*page(F.concat(F.lit("https://docs.example/"), number), text, "2025-01-03")).repartition(4).write.mode("append").json(source)
     ingest.start_indexing(ingest.read_pages(spark, source, files_per_batch=2), target, state, positions=False).awaitTermination()
     return ix.document_frequency(ingest.load_stream(spark, target).postings)

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from urllib.parse import urlsplit
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.scratch import written
 
-DOCUMENTS = "path string, title string, text string"
-
 
 def read_text_files(spark: SparkSession, root: str, on_error: str = "skip", limit: int | None = None) -> DataFrame:
     """``(path, title, text)`` of every ``.txt`` file below ``root``; paths are relative, with ``/``.
@@ -57,35 +51,36 @@ def corpus_paths(spark: SparkSession, root: str, limit: int | None = None) -> Da
     return files if limit is None else files.limit(limit)
 
 
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """``(path, title, text)`` of JSON Lines with string ``url``, ``title`` and ``text``; ``path`` is the path of the URL.
 
-    Blank lines are skipped but counted. A line that is no JSON object, or whose fields aren't strings, fails the job
-    with its number; for that a file is read by one task, as line numbers ask for its start.
+    Lines are split over tasks, however long a file is, and read JVM-side; blank ones are skipped. A line that is no JSON
+    object, or whose fields aren't strings, is an error with its number in its file, which is looked for only then.
+    ``limit`` takes the first lines.
     """
-
-    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for content in pdf["content"]:
-                rows = []
-                for number, line in enumerate(bytes(content).decode("utf-8-sig").split("\n"), 1):
-                    if not line.strip():
-                        continue
-                    try:
-                        page = json.loads(line)
-                    except ValueError as e:
-                        raise ValueError(f"line {number}: not JSON") from e
-                    if not isinstance(page, dict) or not all(isinstance(page.get(k), str) for k in ("url", "title", "text")):
-                        raise ValueError(f"line {number}: url, title and text must be strings")
-                    rows.append((urlsplit(page["url"]).path, page["title"], page["text"]))
-                yield pd.DataFrame(rows, columns=["path", "title", "text"])
-
-    return spark.read.format("binaryFile").load(path).mapInPandas(parsed, DOCUMENTS)
-
-
-def read_corpus(spark: SparkSession, root: str, on_error: str = "skip") -> DataFrame:
-    """A ``.jsonl`` file or a folder of text files."""
-    return read_jsonl(spark, root) if root.endswith(".jsonl") else read_text_files(spark, root, on_error)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    if limit is not None:
+        lines = lines.limit(limit)
+    bare = F.regexp_replace("value", "^\ufeff", "")
+    whole = F.try_parse_json(bare)
+    get = lambda name: F.try_variant_get(whole, f"$.{name}", "string")
+    is_text = lambda name: F.coalesce(F.schema_of_variant(F.try_variant_get(whole, f"$.{name}", "variant")) == "STRING", F.lit(False))
+    good = F.coalesce(F.schema_of_variant(whole).startswith("OBJECT") & is_text("url") & is_text("title") & is_text("text"), F.lit(False))
+    if bad := lines.where(~good).select("value").limit(1).collect():
+        raise ValueError(f"line {_line_number(spark, path, bad[0][0])}: url, title and text must be strings of a JSON object")
+    place = F.regexp_extract(get("url"), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    return lines.select(place.alias("path"), get("title").alias("title"), get("text").alias("text"))
+
+
+def _line_number(spark: SparkSession, path: str, line: str) -> int:
+    """The first number, from 1, that a line has in a file that holds it."""
+    files = spark.read.format("binaryFile").load(path).select(F.split(F.decode("content", "UTF-8"), r"\r?\n").alias("lines"))
+    return files.select(F.array_position("lines", line).alias("n")).where("n > 0").agg(F.min("n")).first()[0]
+
+
+def read_corpus(spark: SparkSession, root: str, on_error: str = "skip", limit: int | None = None) -> DataFrame:
+    """A ``.jsonl`` file or a folder of text files; ``limit`` takes the first of them."""
+    return read_jsonl(spark, root, limit) if root.endswith(".jsonl") else read_text_files(spark, root, on_error, limit)
 
 
 def numbered(documents: DataFrame, start: int = 0) -> DataFrame:

@@ -8,19 +8,25 @@ from __future__ import annotations
 
 import asyncio
 import json
+import logging
+import queue
 import random
+import re
 import time
 import urllib.error
 import urllib.request
-from collections.abc import AsyncIterator, Awaitable, Callable, Iterable
+from collections.abc import AsyncIterator, Awaitable, Callable, Iterable, Iterator
+from contextlib import contextmanager, suppress
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from logging.handlers import QueueHandler, QueueListener
 from urllib.parse import urlsplit
 from urllib.robotparser import RobotFileParser
 
 from loomtext.functions.web import py_canonical_url, py_origin, py_parse_html, retry_after
 
 AGENT = "loomtext"
+log = logging.getLogger("loomtext.crawl")
 
 
 @dataclass(frozen=True)
@@ -67,6 +73,10 @@ async def urllib_get(url: str, timeout: float = 10, most: int = 2 << 20) -> Resp
                 return Response(r.status, {k.lower(): v for k, v in r.headers.items()}, body)
         except urllib.error.HTTPError as e:
             return Response(e.code, {k.lower(): v for k, v in e.headers.items()})
+        except urllib.error.URLError as e:
+            if isinstance(e.reason, TimeoutError):
+                raise TimeoutError("no connection in time") from e
+            raise
 
     return await asyncio.to_thread(run)
 
@@ -83,15 +93,22 @@ class Gate:
     def slow_down(self, host: str, seconds: float) -> None:
         self._least[host] = max(self._least.get(host, self._delay), seconds)
 
+    def hold(self, url: str, seconds: float) -> None:
+        """No request to the URL's origin starts within so many seconds."""
+        host = py_origin(url)
+        self._next[host] = max(self._next.get(host, 0.0), time.monotonic() + seconds)
+
     async def run(self, url: str, work: Callable[[], Awaitable[Response]]) -> Response:
         host = py_origin(url)
         async with self._hosts.setdefault(host, asyncio.Semaphore(self._per_host)):
-            now = time.monotonic()
-            start = max(now, self._next.get(host, 0.0))
-            self._next[host] = start + self._least.get(host, self._delay)
-            await asyncio.sleep(start - now)
-            async with self._all:
-                return await work()
+            while True:
+                await asyncio.sleep(max(0.0, self._next.get(host, 0.0) - time.monotonic()))
+                async with self._all:
+                    # a start is taken only with a place among all requests, so starts keep their distance
+                    now = time.monotonic()
+                    if now >= self._next.get(host, 0.0):
+                        self._next[host] = now + self._least.get(host, self._delay)
+                        return await work()
 
 
 async def fetch(url: str, get: Get, gate: Gate, attempts: int = 3, base_delay: float = 0.25) -> Response:
@@ -102,6 +119,7 @@ async def fetch(url: str, get: Get, gate: Gate, attempts: int = 3, base_delay: f
             if response.status != 429 and response.status < 500:
                 return response
             asked = retry_after(response.headers.get("retry-after"), time.time())
+            gate.hold(url, asked)
         except TimeoutError:
             if attempt + 1 == attempts:
                 raise
@@ -140,6 +158,33 @@ class Robots:
         return rules
 
 
+def decoded(body: bytes, content_type: str) -> str:
+    """The text of a body in the character set that its type names, else UTF-8; what is wrong in it is replaced."""
+    named = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", content_type)
+    try:
+        return body.decode(named[1] if named else "utf-8-sig", "replace")
+    except LookupError:
+        return body.decode("utf-8-sig", "replace")
+
+
+@contextmanager
+def crawl_log(path: str) -> Iterator[logging.Logger]:
+    """The package's log of a crawl in a file, written by a thread of its own so that no request waits for the disk."""
+    log, lines = logging.getLogger("loomtext.crawl"), queue.SimpleQueue()
+    file = logging.FileHandler(path, encoding="utf-8")
+    file.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    entry, writer = QueueHandler(lines), QueueListener(lines, file)
+    log.addHandler(entry)
+    log.setLevel(logging.INFO)
+    writer.start()
+    try:
+        yield log
+    finally:
+        log.removeHandler(entry)
+        writer.stop()
+        file.close()
+
+
 async def crawl(
     seeds: Iterable[str], *, most_pages: int = 500, workers: int = 10, per_host: int = 2, delay: float = 0.2,
     domains: set[str] | None = None, get: Get = urllib_get, stats: CrawlStats | None = None,
@@ -154,27 +199,30 @@ async def crawl(
     gate, frontier, out = Gate(workers, per_host, delay), asyncio.Queue(), asyncio.Queue(maxsize=workers)
     robots, seen = Robots(get, gate), set()
 
-    def offer(url: str, base: str = "") -> None:
-        try:
-            url = py_canonical_url(url, base)
-        except (ValueError, UnicodeError):
-            return
-        if url not in seen and urlsplit(url).hostname in hosts and len(seen) < 20 * most_pages:
-            seen.add(url)
-            frontier.put_nowait(url)
+    def admit(*links: str, base: str = "") -> None:
+        """Queue the links that are web addresses on the hosts to crawl and new."""
+        for link in links:
+            if len(seen) >= 20 * most_pages:
+                return
+            with suppress(ValueError):
+                address = py_canonical_url(link, base)
+                if urlsplit(address).hostname in hosts and address not in seen:
+                    seen.add(address)
+                    frontier.put_nowait(address)
 
     async def visit(url: str) -> None:
         if not await robots.allowed(url):
             stats.blocked += 1
+            log.info("%s is not allowed", url)
             return
         stats.requests += 1
         response = await fetch(url, get, gate)
+        log.info("%s %d", url, response.status)
         if 300 <= response.status < 400 and "location" in response.headers:
-            offer(response.headers["location"], url)
-        elif response.status == 200 and "html" in response.headers.get("content-type", ""):
-            title, text, links = await asyncio.to_thread(py_parse_html, response.body.decode("utf-8", "replace"))
-            for link in links:
-                offer(link, url)
+            admit(response.headers["location"], base=url)
+        elif response.status == 200 and "html" in (kind := response.headers.get("content-type", "").lower()):
+            title, text, links = await asyncio.to_thread(lambda: py_parse_html(decoded(response.body, kind)))
+            admit(*links, base=url)
             await out.put(Page(url, title, text, datetime.now(timezone.utc).isoformat()))
 
     async def work() -> None:
@@ -182,13 +230,13 @@ async def crawl(
             url = await frontier.get()
             try:
                 await visit(url)
-            except (OSError, ValueError, TimeoutError):
+            except (OSError, ValueError, TimeoutError) as e:
                 stats.failed += 1
+                log.warning("%s failed: %s", url, e)
             finally:
                 frontier.task_done()
 
-    for seed in first:
-        offer(seed)
+    admit(*first)
     tasks = [asyncio.create_task(work()) for _ in range(workers)]
     idle = asyncio.create_task(frontier.join())
     try:

@@ -30,7 +30,7 @@ def test_pages(tiny_index):
 def test_semantic_pages(tiny_index):
     sem = SemanticIndex.build(tiny_index, HashingEncoder(32))
     got = api.execute_search(tiny_index, api.SearchParams("event loop", mode="hybrid", k=2), sem, HashingEncoder(32))
-    assert len(got.results) == 2 and got.total == 4
+    assert len(got.results) == 2 and got.total == 3  # the empty document has neither words nor passages
 
 
 def test_lookups(tiny_index):
@@ -49,3 +49,29 @@ def test_timed(caplog):
     with caplog.at_level(logging.DEBUG, "loomtext"), pytest.raises(KeyError):
         f()
     assert "took" in caplog.text
+
+
+def test_service(tiny_index):
+    import json
+    import threading
+    from urllib.error import HTTPError
+    from urllib.request import urlopen
+
+    from loomtext.service import Service, make_server
+
+    server = make_server(Service(tiny_index), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    try:
+        got = json.load(urlopen(f"{at}/search?q=python&k=2"))
+        assert got["total"] == 3 and [r["doc_id"] for r in got["results"]] == [2, 1]
+        assert json.load(urlopen(f"{at}/docs/1"))["path"] == "b.txt" and json.load(urlopen(f"{at}/health"))["status"] == "ok"
+        assert "<mark>Python</mark>" in urlopen(f"{at}/?q=python").read().decode() and "<form>" in urlopen(at).read().decode()
+        assert "Python java" in urlopen(f"{at}/doc/1").read().decode() and json.load(urlopen(f"{at}/stats"))["documents"] == 4
+        for path, status in (("/search?q=", 422), ("/search?q=a&more=1", 422), ("/docs/99", 404), ("/none", 404)):
+            with pytest.raises(HTTPError) as e:
+                urlopen(at + path)
+            assert e.value.code == status
+    finally:
+        server.shutdown()
+    assert Service(None).answer("/search?q=a")[0] == 503 and Service(None).answer("/health")[0] == 200 and Service(object()).answer("/stats")[0] == 500

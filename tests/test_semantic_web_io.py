@@ -1,6 +1,8 @@
 import asyncio
 import json
+import random
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -85,6 +87,31 @@ def test_embedding_files(spark, tiny_index, tmp_path):
     known = M.embedding_store(sem.passages)
     again = M.embed(sem.passages.select("passage_id", "doc_id", "passage"), None, known=known)
     assert again.count() == 3
+    # a resumed build encodes what is missing only: here nothing
+    resumed = M.SemanticIndex.build(tiny_index, None, known=sem)
+    assert resumed.passages.count() == 3 and resumed.corpus == sem.corpus
+    with pytest.raises(ValueError):
+        M.SemanticIndex.build(tiny_index, AsyncEncoder(), model="x", known=sem)
+
+
+def test_any_document_ids(spark):
+    big = 2**63 - 2
+    index = build_index(spark.createDataFrame([(big, "a.txt", "one two"), (0, "b.txt", "three")], "doc_id long, path string, text string"))
+    assert {r.doc_id for r in M.SemanticIndex.build(index, AsyncEncoder()).passages.collect()} == {big, 0}
+
+
+def test_nearest_to_each(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, (300, 4)).astype(float)
+    rows = spark.createDataFrame([(i * 2, v.tolist()) for i, v in enumerate(x)] + [(-1, None)], "id long, embedding array<double>").repartition(3)
+    queries = rows.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    got = {}
+    for r in M.nearest_to_each(rows, queries, "id", 4, block=7).collect():
+        got.setdefault(r.query_id, {})[r.place] = r.id
+    sims = x @ x.T
+    expected = {i * 2: dict(enumerate([2 * j for j in sorted(range(300), key=lambda j: (-sims[i, j], j)) if j != i][:4], 1)) for i in range(0, 300, 10)}
+    assert got == expected
+    assert M.nearest_to_each(rows.limit(0), queries, "id").count() == 0 == M.nearest_to_each(rows, queries.limit(0), "id").count()
 
 
 def test_fingerprint(spark, tiny):
@@ -94,29 +121,52 @@ def test_fingerprint(spark, tiny):
 
 URLS = {
     "HTTP://Example.COM:80/a/?z=2&a=1#x": "http://example.com/a?a=1&z=2", "https://example.com:8443/a///": "https://example.com:8443/a",
-    "http://[::1]:80/x": "http://[::1]/x", "https://example.com/?a=&a=1": "https://example.com?a=&a=1",
+    "http://[::1]:80/x": "http://[::1]/x", "https://example.com/?a=&a=1": "https://example.com/?a=&a=1",
+    "https://example.com": "https://example.com/", "http://e.com:/?b=x%20y&&a": "http://e.com/?a=&b=x+y", "http://bücher.example/%7E?q=~*é": "http://xn--bcher-kva.example/%7E?q=~%2A%C3%A9",
+    " HTTP://e.com:0443//a//?=v&k=1=2\n": "http://e.com:443//a?=v&k=1%3D2", "https://e.com/a?x=%zz%C3%A9": "https://e.com/a?x=%25zz%C3%A9",
 }
 
 
 def test_urls(spark):
     for url, expected in URLS.items():
         assert web.py_canonical_url(url) == expected
-    bad = ["mailto:a@b", "javascript:1", "file:///x", "http://", "http://a:x/", "http://u:p@a/"]
+    bad = ["mailto:a@b", "javascript:1", "file:///x", "http://", "http://a:x/", "http://u:p@a/", "http://a:99999/", "http://a:123456789012345678901234567890/", "http://@a/", "", "//a/b", "http://a b/"]
     for url in bad:
         with pytest.raises(ValueError):
             web.py_canonical_url(url)
     assert web.py_canonical_url("../b", "https://e.com/x/a") == "https://e.com/b"
     df = spark.createDataFrame([(u,) for u in [*URLS, *bad, None]], "u string")
-    assert [r[0] for r in df.select(web.canonical_url("u")).collect()] == [*URLS.values(), *[None] * 7]
-    native = [r[0] for r in df.select(web.canonical_url_native(F.col("u"))).collect()]
-    assert native[:4] == list(URLS.values()) and native[4:7] == [None] * 3
+    assert [r[0] for r in df.select(web.canonical_url("u")).collect()] == [*URLS.values(), *[None] * (len(bad) + 1)]
     assert df.select(web.origin(F.col("u"))).first()[0] == "HTTP://Example.COM:80"
 
 
+def test_one_definition_of_urls(spark):
+    """The expression of the JVM and the function for single values agree on whatever is put together from parts of URLs."""
+    rng = random.Random(1)
+    parts = ["http", "https", "ftp", "HTTPS", "://", ":", "/", "//", "@", "?", "#", "&", "=", "+", "%20", "%C3%A9", "%", "%4", ":80", ":443", ":0", ":70000", "e.com", "Ö.de", "[::1]", "a b", "x~*-_.", "\n", " ", "\\", "ж"]
+    urls = ["".join(rng.choices(parts, k=rng.randrange(1, 9))) for _ in range(1500)]
+    urls += [rng.choice(["http://", "https://e.com", "HTTP://Ö.de:80"]) + "".join(rng.choices(parts[4:], k=rng.randrange(7))) for _ in range(1500)]
+
+    def one(url):
+        try:
+            return web.py_canonical_url(url)
+        except ValueError:
+            return None
+
+    got = [r[0] for r in spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").orderBy("i").select(web.canonical_url("u")).collect()]
+    assert [(u, g) for u, g in zip(urls, got) if g != one(u)] == []
+    assert sum(g is not None for g in got) > 500
+    kept = [g for g in got if g is not None and not any(map(str.isspace, g)) and not g.endswith("/")]
+    assert [web.py_canonical_url(g) for g in kept] == kept
+
+
 def test_html(spark):
     page = "<title>A &amp; B</title><style>x</style><p>One<b>two</b><script>no()</script></p><noscript><a href='/n'>n</a></noscript></noscript><a href='/y'>y</a>"
     expected = ("A & B", "A & B One two y", ["/y"])
     assert web.py_parse_html(page) == expected
+    odd = "<!-- <a href='/c'>c</a> --><p title='x > y'>a < b &lt; c<br/>d</p><A HREF=/z data-href='/no'>z</A><img alt=\"don't\">e<script>if (a < b) '</p>'</script>f<a href='/q?a=1&amp;b=2'>"
+    assert web.py_parse_html(odd) == ("", "a < b < c d z e f", ["/z", "/q?a=1&b=2"])
+    assert web.py_parse_html("<p class='x>never closed <b>but</b> read") == ("", "never closed but read", []) and web.py_parse_html("") == ("", "", [])
     got = spark.createDataFrame([(page,), (None,)], "h string").select(web.parse_html("h").alias("p")).select("p.*").collect()
     assert tuple(got[0]) == expected and tuple(got[1]) == ("", "", [])
 
@@ -181,17 +231,28 @@ def test_streaming_equals_batch(spark, tmp_path):
     stream = ingest.distinct_pages(ingest.read_pages(spark, str(tmp_path / "in"), 1))
     ingest.start_indexing(stream, str(tmp_path / "ix"), str(tmp_path / "ck")).awaitTermination()
     index = ingest.load_stream(spark, str(tmp_path / "ix"))
-    assert index.docs.count() == 12
+    assert index.docs.count() == 12 and len({r.path for r in index.docs.collect()}) == 12
     assert {r.term: r.df for r in document_frequency(index.postings).collect()} == {"common": 12, "word0": 4, "word1": 4, "word2": 4}
     with pytest.raises(ValueError):
         ingest.load_stream(spark, str(tmp_path / "none"))
 
 
+def test_refetched_pages_replace(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    fetched = [("HTTP://E.com:80/a/", "cat dog", "1"), ("http://e.com/a#x", "cat", "2"), ("http://e.com/b", "cat", "3"), ("mailto:x", "cat", "4"), ("http://e.com/a", "bird", "5")]
+    for n, (url, text, at) in enumerate(fetched):
+        (tmp_path / f"in/{n}.json").write_text(json.dumps({"url": url, "title": "t", "text": text, "fetched_at": at}))
+        ingest.start_indexing(ingest.read_pages(spark, str(tmp_path / "in"), 1), str(tmp_path / "ix"), str(tmp_path / "ck")).awaitTermination()
+    index = ingest.load_stream(spark, str(tmp_path / "ix"))
+    assert {r.path: r.text for r in index.docs.collect()} == {"http://e.com/a": "bird", "http://e.com/b": "cat"}
+    assert {r.term: r.df for r in document_frequency(index.postings).collect()} == {"bird": 1, "cat": 1}
+
+
 def test_crawl(tmp_path):
     html = {"content-type": "text/html"}
     site = {
         "http://s.test/robots.txt": crawl.Response(200, {}, b"User-agent: *\nDisallow: /no"),
-        "http://s.test": crawl.Response(200, html, b"<title>Home</title><a href='/a/'>a</a><a href='/a#x'>a</a><a href='/no'>n</a><a href='http://o.test/'>o</a><a href='/r'>r</a><a href='/i'>i</a>"),
+        "http://s.test/": crawl.Response(200, {"content-type": "Text/HTML; Charset=windows-1252"}, "<title>Homé</title><a href='/a/'>a</a><a href='/a#x'>a</a><a href='/no'>n</a><a href='http://o.test/'>o</a><a href='/r'>r</a><a href='/i'>i</a>".encode("cp1252")),
         "http://s.test/a": crawl.Response(200, html, b"<title>A</title>text"),
         "http://s.test/r": crawl.Response(302, {"location": "/r2"}),
         "http://s.test/r2": crawl.Response(302, {"location": "/r"}),
@@ -205,9 +266,11 @@ def test_crawl(tmp_path):
 
     stats = crawl.CrawlStats()
     target = tmp_path / "out.jsonl"
-    asyncio.run(crawl.collect(["http://s.test/"], str(target), get=get, delay=0.0, workers=3, stats=stats))
+    with crawl.crawl_log(str(tmp_path / "log")):
+        asyncio.run(crawl.collect(["http://s.test/"], str(target), get=get, delay=0.0, workers=3, stats=stats))
+    assert "http://s.test/a 200" in (tmp_path / "log").read_text()
     pages = {p["url"]: p["title"] for p in map(json.loads, target.read_text().splitlines())}
-    assert pages == {"http://s.test": "Home", "http://s.test/a": "A"} and stats.blocked == 1 and stats.pages == 2
+    assert pages == {"http://s.test/": "Homé", "http://s.test/a": "A"} and stats.blocked == 1 and stats.pages == 2
     assert len(asked) == len(set(asked)) and not any("o.test" in u for u in asked)
 
 
@@ -223,6 +286,27 @@ def test_fetch_retries():
     assert asyncio.run(run()).status == 200
 
 
+def test_gate_keeps_the_distance():
+    starts = []
+
+    async def run():
+        gate = crawl.Gate(total=1, per_host=5, delay=0.05)
+
+        async def work():
+            starts.append(time.monotonic())
+            await asyncio.sleep(0.08)
+            return crawl.Response(200)
+
+        await asyncio.gather(*(gate.run(f"http://a.test/{i}", work) for i in range(3)), *(gate.run(f"http://b.test/{i}", work) for i in range(2)))
+        gate.hold("http://a.test/", 0.2)
+        at = time.monotonic()
+        await gate.run("http://a.test/x", work)
+        return starts[-1] - at
+
+    assert asyncio.run(run()) >= 0.19
+    assert all(b - a >= 0.049 for a, b in zip(starts, starts[1:]))
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "c").mkdir()
     (tmp_path / "c/a.txt").write_text("Python async event loop")
@@ -233,6 +317,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.strip())["path"] == "a.txt"
     assert main(["search", ix, "NOT async", "--boolean"]) == 0 and "b.txt" in capsys.readouterr().out
     assert main(["stats", ix, "--top", "1"]) == 0 and "python" in capsys.readouterr().out
+    assert main(["stats", str(tmp_path / "c"), "--corpus", "--json", "--limit", "1"]) == 0
+    assert json.loads(capsys.readouterr().out.strip())["documents"] == 1
     assert main(["embed", ix, str(tmp_path / "e"), "--dim", "16"]) == 0
+    assert main(["embed", ix, str(tmp_path / "e2"), "--dim", "16", "--resume", str(tmp_path / "e")]) == 0
     assert main(["search", ix, "event", "--mode", "hybrid", "--embeddings", str(tmp_path / "e")]) == 0
     assert main(["search", ix, "("]) == 1 and capsys.readouterr().err.startswith("error:")
