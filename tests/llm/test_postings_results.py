@@ -75,6 +75,43 @@ def test_counts_follow_changes(spark):
     assert stored(store)["new"] == (6, 2)
 
 
+def test_a_store_is_opened_again(spark, tmp_path):
+    rng = random.Random(5)
+    path, now = f"file://{tmp_path}/store", {}
+    for step in range(11):
+        docs = rng.sample(range(40), 6)
+        dropped = rng.sample(range(40), 3)
+        rows = [(t, d, rng.choice([1, 2, 0]), None) for d in docs for t in rng.sample("abcdefghij", 3)]
+        store = TermCounts(spark, path, buckets=8).apply(postings(spark, rows), spark.createDataFrame([(d,) for d in dropped], "doc_id long"))
+        now = {d: r for d, r in now.items() if d not in dropped} | {d: [r for r in rows if r[1] == d] for d in docs}
+        if step in (0, 5, 10):
+            again, cells = TermCounts(spark, path), counted([r for rs in now.values() for r in rs])
+            assert stored(again) == totals(cells)
+            assert {(r.doc_id, r.term): r.tf for r in again.records().collect()} == cells
+            assert again._now == store._now and again._now["holding"] == len({d for d, _ in cells})
+    assert len(store._now["records"]) < 9 and len(store._now["deltas"]) <= 4 and store._now["buckets"] == 8
+    assert stored(TermCounts(spark, path).compact()) == totals(cells)
+    other = TermCounts(spark, path)
+    other.apply(deletes=spark.createDataFrame([(1,)], "doc_id long"))
+    with pytest.raises(Exception, match="exist"):  # another writer was first
+        store.apply(deletes=spark.createDataFrame([(2,)], "doc_id long"))
+
+
+def test_only_touched_buckets_are_read(spark):
+    store = TermCounts(spark, buckets=16).apply(postings(spark, [(t, d, 1, None) for d in range(200) for t in "abc"]))
+    rows, read = store._records("1", [3]), store._records("1")
+    files = lambda df: df.select(F.input_file_name()).distinct().count()
+    assert 0 < files(rows) < files(read)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    seen = []
+    store._records = lambda v, b=None: seen.append(b) or TermCounts._records(store, v, b)
+    store.apply(postings(spark, [("a", d, 1, None) for d in (1000, 1001)]))
+    assert seen == []  # new documents only: no records are read
+    store.apply(postings(spark, [("b", 7, 1, None)]))
+    assert len(seen) == 1 and len(seen[0]) == 1
+
+
 def test_marks(spark):
     rows = [("all", d, 1, None) for d in range(10)] + [("two", d, 1, None) for d in (0, 1)] + [("four", d, 9, None) for d in range(4)] + [("five", d, 1, None) for d in range(5)]
     got = {r.term: r.mark for r in TermCounts(spark).apply(postings(spark, rows)).marked().collect()}
