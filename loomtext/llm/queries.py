@@ -143,6 +143,12 @@ def p9_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return without_leaks(documents, leaked(documents, table(spark, folder, "eval_items")))
 
 
+@query
+def p9_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words every document has, and how many of them are leaked."""
+    return p9_cleaned(spark, folder).select("doc_id", "words", "leaked_words")
+
+
 @query
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(texts(spark, folder, "documents", "doc_id", "text"))

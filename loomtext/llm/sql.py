@@ -94,3 +94,9 @@ SQL["p4_found"] = """
     best as (select a, b, cosine, row_number() over (partition by a order by cosine desc, b) as place from near)
     select distinct least(a, b) as passage_id_a, greatest(a, b) as passage_id_b from best where place <= 5 and cosine >= 0.86"""
 SQL["p9_found"] = f"select distinct doc_id, item_id from {_runs('documents', 'doc_id')} join {_runs('eval_items', 'item_id')} using (run)"
+SQL["p9_coverage"] = f"""
+    with docs_ as (select doc_id, {_WORDS} as w from documents),
+    held as (select distinct run from {_runs('eval_items', 'item_id')}),
+    runs_at as (select doc_id, i, array_to_string(w[i + 1 : i + 12], ' ') as run from (select doc_id, w, unnest(range(greatest(len(w) - 11, 0))) as i from docs_)),
+    covered as (select doc_id, count(distinct i + j) as n from runs_at join held using (run), range(12) as r(j) group by doc_id)
+    select doc_id, len(w)::int as words, coalesce(n, 0)::int as leaked_words from docs_ left join covered using (doc_id)"""

@@ -42,7 +42,7 @@ class TermCounts:
     fixed when a store is made.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32):
         self.spark, self.path = spark, path or scratch_path(spark, "term-counts")
         names = self._manifests()
         self._now = json.loads(self._read(names[-1])) if names else {"version": 0, "buckets": buckets, "holding": 0, "records": {}, "docs": {}, "counts": None, "deltas": []}
@@ -84,7 +84,7 @@ class TermCounts:
     def _write_records(self, rows: DataFrame) -> str:
         """In buckets; a bucket is written by several tasks, so no document makes one of them long."""
         keyed = rows.select("doc_id", "term", "tf", self._bucket())
-        return self._write(keyed.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(4))), "records", "bucket")
+        return self._write(keyed.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(2))), "records", "bucket")
 
     def _last(self, touched: DataFrame | None = None) -> DataFrame:
         """``(doc_id, bucket, alive, version)``: of each document, or of the touched ones, what its last version says."""

@@ -192,7 +192,13 @@ def test_automaton(items, words, least):
             assert place not in runs
 
 
-def test_leaks(spark):
+@pytest.mark.parametrize("block_words, slice_characters, bits", [(200_000, 4_000_000, 27), (60, 300, 27), (60, 300, 8)])
+def test_leaks(spark, monkeypatch, block_words, slice_characters, bits):
+    """Against brute force, in one block and in many, and with a filter so small that it lets nearly everything through."""
+    from loomtext.llm import leaks
+
+    for name, value in (("BLOCK_WORDS", block_words), ("SLICE_CHARACTERS", slice_characters), ("FILTER_BITS", bits)):
+        monkeypatch.setattr(leaks, name, value)
     rng = random.Random(3)
     words = [f"w{i}" for i in range(40)] + ["П’ять", "café", "Straße", "don't"]
     items = [(i, " ".join(rng.choices(words, k=30)), "x") for i in range(6)] + [(6, "too short", "x"), (7, None, "x"), (8, "", "x")]
