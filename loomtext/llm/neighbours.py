@@ -1,8 +1,8 @@
 """Most similar vectors for every vector by shifted space-filling curves.
 
 Each of several curves projects all vectors at random onto a few dimensions, shifts the grid and orders them by their
-Hilbert key. Spark range-partitions each ordering; within it every vector is compared exactly with those at most
-``window`` places away, and the best of all curves are merged. Copies of a vector are one point of the curves. Vectors
+Hilbert key. Spark range-partitions each ordering; in it every vector is compared with those at most ``window`` places
+away, across the borders of partitions too, and the best of all curves are merged and compared exactly. Copies of a vector are one point of the curves. Vectors
 that share a key have no order on the curve, so runs of one key too long for the window are compared exactly, in blocks.
 """
 
@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.vectors import bound, dot
@@ -75,27 +76,53 @@ def _from_bytes(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
-def _best_in_window(ids: np.ndarray, vectors: np.ndarray, window: int, k: int, least: float, first: int, last: int):
-    """Rows ``(id, other, cosine)``: of rows first..last-1 at least the k best among the rows at most ``window`` away."""
-    out_a, out_b, out_c = [], [], []
+def _best_in_window(ids: np.ndarray, vectors: np.ndarray, asks: np.ndarray, window: int, k: int, least: float, first: int, last: int, split: int | None = None):
+    """Rows ``(id, other, cosine)``: of the asking ones of rows first..last-1 at least the k best among the rows at most
+    ``window`` away; with ``split``, among those on the other side of it."""
+    out_a, out_b, out_c = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
     for lo in range(first, last, _BLOCK):
         hi = min(lo + _BLOCK, last)
+        own = lo + np.flatnonzero(asks[lo:hi])
+        if not len(own):
+            continue
         a, b = max(0, lo - window), min(len(ids), hi + window)
-        cos = vectors[lo:hi] @ vectors[a:b].T
-        away = np.abs(np.arange(lo, hi)[:, None] - np.arange(a, b)[None, :])
-        cos[(away > window) | (away == 0)] = -2
+        cos = vectors[own] @ vectors[a:b].T
+        away = np.abs(own[:, None] - np.arange(a, b)[None, :])
+        out = (away > window) | (away == 0)
+        if split is not None:
+            out |= (own[:, None] < split) == (np.arange(a, b)[None, :] < split)
+        cos[out] = -2
         if cos.shape[1] > k:
             cols = np.argpartition(-cos, k - 1, axis=1)[:, :k]
             least_kept = np.take_along_axis(cos, cols, 1).min(axis=1, keepdims=True) - MARGIN
         else:
-            least_kept = np.full((hi - lo, 1), -1.5)
+            least_kept = np.full((len(own), 1), -1.5)
         rows, cols = np.nonzero((cos >= least_kept) & (cos >= least - MARGIN) & (cos > -1.5))
-        out_a.append(ids[lo:hi][rows])
+        out_a.append(ids[own][rows])
         out_b.append(ids[a:b][cols])
         out_c.append(cos[rows, cols])
     return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_c)
 
 
+def _across_border(dim: int, window: int, k: int, least: float):
+    """Of a group, the last rows of one range partition and the first of the next, the pairs across the border."""
+
+    def best(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("nth").to_numpy(), kind="stable")
+        group = group.take(pa.array(order)).combine_chunks()
+        ids, on, nth, asks = (group.column(c).to_numpy() for c in ("head", "curve", "nth", "ask"))
+        x = _from_bytes(group.column("packed").combine_chunks(), dim)
+        found = [(ids[:0], ids[:0], np.empty(0, np.float32))]
+        for curve in np.unique(on):
+            here = on == curve
+            split = int((nth[here] < 0).sum())
+            found.append(_best_in_window(ids[here], x[here], asks[here], window, k, least, 0, int(here.sum()), split))
+        a, b, c = (np.concatenate([f[i] for f in found]) for i in range(3))
+        return pa.table({"head": a, "other": b, "cosine": np.round(c.astype(np.float64), 6)})
+
+    return best
+
+
 class _LongRuns:
     """Of rows in order of curve and key, those in runs of one curve and key of more than ``most`` rows."""
 
@@ -167,17 +194,19 @@ def _in_runs(runs: DataFrame, head: DataFrame, dim: int, k: int, least: float) -
 
 def similar_vectors(
     vectors: DataFrame, item: str, vector: str, dim: int, k: int = 5, least: float = -1.0,
-    curves: int = 16, window: int = 64, axes: int = 12, bits: int = 4, seed: int = 7,
+    curves: int = 16, window: int = 64, axes: int = 12, bits: int = 4, seed: int = 7, asks: Column | None = None,
 ) -> DataFrame:
     """``(item, other, cosine, place)``: of every vector the ``k`` others with the highest cosine found, if at least ``least``.
 
     Equal cosines (to six decimals) go by smaller id. Vectors that are null, hold a null, NaN or infinity, have not
-    ``dim`` values or a norm of zero take no part; rows with a null id don't either; a repeated id counts once, with any
-    of its vectors. Exact copies of a vector, however many, are compared once and see the copies of smallest id first.
+    ``dim`` values or a norm of zero take no part; rows with a null id don't either; a repeated id counts once, always with
+    the same of its vectors (the one of least hash). With ``asks``, a condition on the rows, only those that fulfil it are
+    answered, against all rows. Exact copies of a vector, however many, are compared once and see the copies of smallest id first.
     Other columns are ignored; an empty table gives no rows.
 
-    The search is approximate: ``curves`` and ``window`` trade recall for time, which grows with rows times both. Nothing
-    is sampled: every vector is on every curve. Pairs across the border of two range partitions are missed on that curve.
+    The search is approximate: ``curves`` and ``window`` trade recall for time, which grows with asking rows times both.
+    What is near is found by few; neighbours that are hardly nearer than the rest need a window that grows with the rows.
+    Nothing is sampled: every vector is on every curve. Pairs across the border of two range partitions are compared too.
     Vectors with the same key on some curve, such as near copies or scaled ones, are all compared, however many they are.
     """
     if axes * bits > 63 or axes > dim:
@@ -187,18 +216,21 @@ def similar_vectors(
     usable = vectors.where(F.col(item).isNotNull() & v.isNotNull()).where((F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)))
     # the norm is computed once a vector, not once a value
     unit = bound(norm, lambda n: F.when((n > 0) & (n < float("inf")), F.transform(v, lambda x: (x / n).cast("float"))))
-    rows = usable.select(F.col(item).cast("long").alias("item"), unit.alias("v")).where("v is not null")
-    rows = written(rows.select("item", "v", F.xxhash64("v").alias("h"), F.hash("v").alias("g")), "vectors").dropDuplicates(["item"])
+    ask = F.coalesce(asks, F.lit(False)) if asks is not None else F.lit(True)
+    rows = usable.select(F.col(item).cast("long").alias("item"), unit.alias("v"), ask.alias("ask")).where("v is not null")
+    once = rows.groupBy("item").agg(F.min(F.struct(F.xxhash64("v").alias("h"), F.hash("v").alias("g"), "v")).alias("r"), F.max("ask").alias("ask"))
+    rows = written(once.select("item", "ask", "r.*"), "vectors")
 
-    counted = rows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("item").alias("head"))
+    counted = rows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("item").alias("head"), F.max("ask").alias("ask"))
     counted = written(counted, "vector-classes")
-    head = rows.join(counted.select(F.col("head").alias("item"), "h", "g"), ["item", "h", "g"], "left_semi").select(F.col("item").alias("head"), "v")
+    firsts_ = counted.select(F.col("head").alias("item"), F.col("ask").alias("any"), "h", "g")
+    head = rows.join(firsts_, ["item", "h", "g"]).select(F.col("item").alias("head"), "v", F.col("any").alias("ask"))
     head = written(head, "vector-heads")
     found = _on_curves(head, dim, k, least, curves, window, axes, bits, seed)
 
     # copies: the first k + 1 members of each class that has more than one
     many = counted.where("n > 1")
-    copies = join_per_key(rows.select("item", "h", "g"), many, ["h", "g"], "n").select("item", "head")
+    copies = join_per_key(rows.select("item", "h", "g", F.col("ask").alias("asks")), many, ["h", "g"], "n").select("item", "head", "asks")
     copies = written(copies, "vector-copies")
     order = Window.partitionBy("head").orderBy("item")
     firsts = copies.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).groupBy("head").agg(F.sort_array(F.collect_list("item")).alias("members"))
@@ -209,15 +241,15 @@ def similar_vectors(
     lists = near.join(own, "head", "full").select("head", F.slice(F.array_sort(F.concat(F.coalesce("own", F.array()), F.coalesce("near", F.array()))), 1, k + 1).alias("best"))
     lists = written(lists, "vector-lists")
 
-    sized = counted.select("head", "n").join(lists, "head")
+    sized = counted.where("ask").select("head", "n").join(lists, "head")
     single = sized.where("n = 1").select(F.col("head").alias("item"), "best")
-    several = join_per_key(copies, sized.where("n > 1"), ["head"], "n").select("item", "best")
+    several = join_per_key(copies.where("asks"), sized.where("n > 1"), ["head"], "n").select("item", "best")
     each = single.unionByName(several).select("item", F.posexplode(F.slice(F.filter("best", lambda x: x["other"] != F.col("item")), 1, k)).alias("p", "x"))
     return each.select("item", "x.other", (-F.col("x.minus")).alias("cosine"), (F.col("p") + 1).alias("place"))
 
 
 def _on_curves(head: DataFrame, dim: int, k: int, least: float, curves: int, window: int, axes: int, bits: int, seed: int) -> DataFrame:
-    """``(head, other, cosine)``: of every head at least its k best found on any curve, each once, with the exact cosine."""
+    """``(head, other, cosine)``: of every asking head at least its k best found on any curve, each once, with the exact cosine."""
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, ss = 0, np.zeros(dim), np.zeros(dim)
@@ -245,27 +277,41 @@ def _on_curves(head: DataFrame, dim: int, k: int, least: float, curves: int, win
                 z = ((x @ bases[curve]) / (6 * width) + 0.5 + 0.25 * shifts[curve]) / 1.25
                 cells = np.clip(z * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), curve, dtype=np.int32)), pa.array(hilbert_keys(cells, bits)), batch.column("head"), packed],
-                    names=["curve", "key", "head", "packed"],
+                    [pa.array(np.full(len(x), curve, dtype=np.int32)), pa.array(hilbert_keys(cells, bits)), batch.column("head"), packed, batch.column("ask")],
+                    names=["curve", "key", "head", "packed", "ask"],
                 )
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order of curve and key; a row is compared once the ``window`` rows after it are there."""
-        ids, vecs, on, done = np.empty(0, np.int64), np.empty((0, dim), np.float32), np.empty(0, np.int32), 0
+        """Rows come in order of curve and key; a row is compared once the ``window`` rows after it are there. The first and
+        last rows of a partition are also put out as they are, to be compared across its borders."""
+        context = TaskContext.get()
+        here_part = context.partitionId() if context else 0
+        ids, vecs, on, ask, done = np.empty(0, np.int64), np.empty((0, dim), np.float32), np.empty(0, np.int32), np.empty(0, bool), 0
         long_runs = _LongRuns(window + 1)
+        begun, tail = 0, None
 
         def flush(upto: int):
-            a, b, c = _best_in_window(ids, vecs, window, k, least, done, upto)
+            a, b, c = _best_in_window(ids, vecs, ask, window, k, least, done, upto)
             return rows(head=a, other=b, cosine=np.round(c.astype(np.float64), 6))
 
-        def rows(**columns: np.ndarray) -> pa.RecordBatch:
+        def rows(**columns) -> pa.RecordBatch:
             n = len(columns["head"])
             return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in out], schema=out)
 
+        def border(part: pa.Table, border: int, first: int) -> pa.RecordBatch:
+            columns = {c: part.column(c).combine_chunks() for c in ("head", "curve", "packed", "ask")}
+            return rows(**columns, border=np.full(len(part), border), nth=np.arange(first, first + len(part)))
+
         for batch in batches:
             if not len(batch):
                 continue
-            new_on = np.asarray(batch.column("curve"))
+            part = pa.Table.from_batches([batch])
+            if begun < window:
+                yield border(part.slice(0, window - begun), here_part - 1, begun)
+                begun += len(part.slice(0, window - begun))
+            tail = pa.concat_tables([tail, part]) if tail is not None else part
+            tail = tail.slice(max(0, len(tail) - window))
+            new_on, new_ask = np.asarray(batch.column("curve")), batch.column("ask").to_numpy(zero_copy_only=False)
             new_ids, new_vecs = np.asarray(batch.column("head")), _from_bytes(batch.column("packed"), dim)
             run_on, run_keys, run_ids = long_runs.of(new_on, np.asarray(batch.column("key")), new_ids)
             if len(run_ids):
@@ -275,30 +321,35 @@ def _on_curves(head: DataFrame, dim: int, k: int, least: float, curves: int, win
                 if len(on) and on[-1] != curve:
                     if done < len(ids):
                         yield flush(len(ids))
-                    ids, vecs, on, done = ids[:0], vecs[:0], on[:0], 0
-                ids, vecs, on = np.concatenate([ids, new_ids[here]]), np.concatenate([vecs, new_vecs[here]]), np.concatenate([on, new_on[here]])
+                    ids, vecs, on, ask, done = ids[:0], vecs[:0], on[:0], ask[:0], 0
+                ids, vecs, on, ask = (np.concatenate(x) for x in ((ids, new_ids[here]), (vecs, new_vecs[here]), (on, new_on[here]), (ask, new_ask[here])))
                 upto = len(ids) - window
                 if upto > done:
                     yield flush(upto)
                     keep = max(0, upto - window)
-                    ids, vecs, on, done = ids[keep:], vecs[keep:], on[keep:], upto - keep
+                    ids, vecs, on, ask, done = ids[keep:], vecs[keep:], on[keep:], ask[keep:], upto - keep
         if done < len(ids):
             yield flush(len(ids))
-
-    out = pa.schema([("head", pa.int64()), ("other", pa.int64()), ("cosine", pa.float64()), ("curve", pa.int32()), ("key", pa.int64())])
-    schema = "curve int, key long, head long, packed binary"
-    ordered = head.mapInArrow(keyed, schema).repartitionByRange("curve", "key").sortWithinPartitions("curve", "key", "head")
-    # rows of long runs have a curve and key and no other
-    pairs = ordered.mapInArrow(compared, "head long, other long, cosine double, curve int, key long")
-    both = written(pairs.groupBy("head", "other", "curve", "key").agg(F.max("cosine").alias("cosine")), "vector-near")
-    near = both.where("other is not null").select("head", "other", "cosine")
+        if tail is not None:
+            yield border(tail, here_part, -len(tail))
+
+    schema = "head long, other long, cosine double, curve int, key long, packed binary, ask boolean, border int, nth int"
+    types = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    out = pa.schema([(n, types[t]) for n, t in (f.split() for f in schema.split(", "))])
+    ordered = head.mapInArrow(keyed, "curve int, key long, head long, packed binary, ask boolean").repartitionByRange("curve", "key").sortWithinPartitions("curve", "key", "head")
+    # pairs have a cosine, rows of long runs a curve and key, rows at borders a border
+    raw = written(ordered.mapInArrow(compared, schema), "vector-windows")
+    at_border = raw.where("border >= 0").select("border", "nth", "curve", "head", "packed", "ask")
+    across = at_border.groupBy("border").applyInArrow(_across_border(dim, window, k, least), "head long, other long, cosine double")
+    near = raw.where("other is not null").select("head", "other", "cosine").unionByName(across)
+    near = written(near.groupBy("head", "other").agg(F.max("cosine").alias("cosine")), "vector-near")
     # bounded by the curves times k and what is within the margin
     cut = near.groupBy("head").agg(F.sort_array(F.collect_list("cosine"), asc=False).alias("all"))
     cut = cut.select("head", F.coalesce(F.try_element_at("all", F.lit(k)), F.lit(-2.0)).alias("kth"))
     kept = near.join(cut, "head").where(F.col("cosine") >= F.col("kth") - MARGIN).select("head", "other")
-    runs = both.where("other is null").select("curve", "key", "head")
+    runs = raw.where("key is not null").select("curve", "key", "head")
     if not runs.isEmpty():
-        kept = kept.union(_in_runs(runs, head, dim, k, least)).distinct()
+        kept = kept.union(_in_runs(runs, head, dim, k, least).join(head.where("ask").select("head"), "head", "left_semi")).distinct()
     one, two = head.select("head", F.col("v").alias("a")), head.select(F.col("head").alias("other"), F.col("v").alias("b"))
     exact = kept.join(one, "head").join(two, "other").select("head", "other", F.round(dot(F.col("a"), F.col("b")), 6).alias("cosine"))
     return written(exact.where(F.col("cosine") >= least), "vector-pairs")

@@ -78,6 +78,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(*pair).distinct()
 
 
+@query
+def p4_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest, however far, of every passage whose id is divisible by 100, against all: far neighbours need a wide window."""
+    passages = table(spark, folder, "passages")
+    return similar_vectors(passages, "passage_id", "embedding", dim=64, k=5, window=1024, asks=F.col("passage_id") % 100 == 0)
+
+
 @query
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return most_distinctive(table(spark, folder, "postings")).select("doc_id", "term")

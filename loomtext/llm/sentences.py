@@ -1,8 +1,10 @@
 """Sentence units of documents in any script, by a pushdown automaton over marks, quotes and brackets.
 
-The automaton reads a paragraph's events only: sentence marks, opening and closing marks, Thai spaces. Its stack holds
-the open quotes and brackets; a mark below the top level ends nothing, and when the stack empties after a mark, what was
-open and what follows decide. Abbreviations are looked up backwards from a full stop in tries.
+The automaton reads a paragraph's events only: sentence marks, opening and closing marks, list marks, Thai spaces. Its
+stack holds the open quotes and brackets and the levels of lists: an item drops what was opened in the items before it at
+its level or deeper and not closed, and the mark of an item ends nothing. A sentence mark inside quotes or brackets ends
+nothing either, and when they close after one, what was open and what follows decide. Abbreviations are looked up
+backwards from a full stop in tries. Every step takes time in proportion to what it reads, so a text takes linear time.
 """
 
 from __future__ import annotations
@@ -18,29 +20,32 @@ TITLES = ("Dr", "dr", "Prof", "prof", "Mr", "Mrs", "Ms", "St", "Gen", "Rev", "Ho
 #: Abbreviations (without the last full stop) that stand before what they belong to.
 BEFORE = (
     "cf", "e.g", "eg", "i.e", "viz", "vs", "approx", "esp", "bzw", "ca", "z.b", "z. b", "d.h", "d. h", "vgl", "sog", "ggf", "inkl",
-    "evtl", "geb", "p. ex", "p.ex", "ex", "p. ej", "p.ej", "ej", "aprox",
+    "evtl", "geb", "np", "m.in", "tzn", "tj", "bijv", "o.a", "d.w.z", "p.es", "p. es", "p. ex", "p.ex", "ex", "p. ej", "p.ej", "ej", "aprox",
     "проф", "акад", "див", "тис", "млн", "млрд", "ім", "вул", "напр", "просп", "смт", "м", "डॉ", "श्री", "कृ", "د", "أ",
 )
 #: Abbreviations that stand before a number.
 BEFORE_NUMBER = (
     "no", "nos", "fig", "figs", "sec", "ch", "chap", "vol", "p", "pp", "art", "eq", "ver", "jan", "feb", "mar", "apr", "jun", "jul",
-    "aug", "sep", "sept", "oct", "nov", "dec", "nr", "abb", "kap", "tab", "bd", "s", "pág", "págs", "núm", "cap", "рис", "табл",
+    "aug", "sep", "sept", "oct", "nov", "dec", "nr", "abb", "abs", "kap", "rys", "tabl", "poz", "ust", "sez", "pag", "hfst", "tab", "bd", "s", "pág", "págs", "núm", "cap", "рис", "табл",
     "гл", "розд", "с", "п", "ст", "т", "ص",
 )
 #: Abbreviations after which a sentence can end.
 AFTER = (
-    "etc", "al", "inc", "ltd", "co", "corp", "jr", "u.s", "u.k", "a.m", "p.m", "ff", "usw", "u.a", "min", "std", "env", "bros", "dept",
+    "etc", "al", "inc", "ltd", "co", "corp", "jr", "u.s", "u.k", "a.m", "p.m", "ff", "usw", "u.a", "itd", "itp", "ecc", "enz", "min", "std", "env", "bros", "dept",
     "ін", "т.д", "т. д", "т.п", "т. п", "н.е", "н. е", "р", "рр", "грн", "год", "хв", "д", "е", "h",
 )
 #: Names of months after a number with a full stop.
 MONTHS = ("Januar", "Jänner", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember")
 
+#: What is longer without white space is no word.
+LONGEST = 500
+
 _PAIRS = {"(": ")", "（": "）", "[": "]", "［": "］", "【": "】", "「": "」", "『": "』", "《": "》", "«": "»", "‘": "’"}
 _CLOSES = {v: k for k, v in _PAIRS.items()}
 _BRACKETS = set("(（[［【")
 _TRAILING = "\"”’»)）]］】」』》“*_`"
 _THAI = "ก-ฺเ-๎"
-_EVENT = re.compile(rf"[.!?…。！？।॥؟۔]+|[\"“”„«»‘’「」『』《》()（）\[\]［］【】]|(?<=[{_THAI}])[  ]+(?=[{_THAI}])")
+_EVENT = re.compile(rf"(?P<item>(?<=\n)[^\S\n]*(?:[-*•–]|\d+[.)])[^\S\n]+(?=\S))|[.!?…。！？।॥؟۔]+|[\"“”„«»‘’「」『』《》()（）\[\]［］【】]|(?<=[{_THAI}])[  ]+(?=[{_THAI}])")
 _PARAGRAPH = re.compile(r"\S(?:.|\n(?![^\S\n]*\n))*")
 _FULL = set("。！？।॥؟۔")
 _OPENERS = re.compile(r"(?:[*_`~]+(?=\S)|[\"“„«‘「『《(（\[¿¡]\s*)*")
@@ -77,36 +82,47 @@ def _abbreviation(text: str, start: int, stop: int, trie: dict, cased: bool = Fa
     return False
 
 
-def _pairs(events: list[tuple[int, int]], text: str) -> dict[int, int]:
+def _pairs(events: list[tuple[int, int, bool]], text: str) -> dict[int, int]:
     """Start of each opening mark to that of its closing mark and back; marks without partner are in neither."""
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, int]] = []  # a mark and its place, or "item" and the width before its mark
+    places: dict[str, list[int]] = {}  # of each mark those of its places on the stack
     found: dict[int, int] = {}
 
+    def push(mark: str, at: int) -> None:
+        places.setdefault(mark, []).append(len(stack))
+        stack.append((mark, at))
+
+    def drop(size: int) -> None:
+        while len(stack) > size:
+            places[stack.pop()[0]].pop()
+
     def close(opening: str, at: int) -> bool:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in opening:
-                found[stack[k][1]], found[at] = at, stack[k][1]
-                del stack[k:]
-                return True
-        return False
+        size = max((places[o][-1] for o in opening if places.get(o)), default=-1)
+        if size >= 0:
+            found[stack[size][1]], found[at] = at, stack[size][1]
+            drop(size)
+        return size >= 0
 
-    for a, b in events:
+    for a, b, item in events:
         c = text[a]
-        if b - a > 1 or c in ".!?…" or c in _FULL or c.isspace():
+        if item:
+            level = len(text[a:b]) - len(text[a:b].lstrip())
+            while places.get("item") and stack[places["item"][-1]][1] >= level:
+                drop(places["item"][-1])
+            push("item", level)
+        elif b - a > 1 or c in ".!?…" or c in _FULL or c.isspace():
             continue
-        if c == '"':
-            if not close('"', a):
-                stack.append((c, a))
+        elif c == '"':
+            close('"', a) or push(c, a)
         elif c == "“":
-            if not close("„", a):
-                stack.append((c, a))
+            close("„", a) or push(c, a)
         elif c == "”":
             close("“„", a)
         elif c == "’":
             if not text[b : b + 1].isalnum():
                 close("‘", a)
         elif c in _PAIRS or c == "„":
-            stack.append((c, a))
+            push(c, a)
         else:
             close(_CLOSES[c], a)
     return found
@@ -149,6 +165,8 @@ def _stops(text: str, start: int, a: int, b: int, stop: int) -> bool:
     first = a
     while first > start and not text[first - 1].isspace() and text[first - 1] not in "\"“„«‘(（[「":
         first -= 1
+        if a - first > LONGEST:
+            return not near and kind != "p"
     word = text[first:a]
     if near and (len(word) < 2 or not word[-1].isalpha() or not word[-1].islower() or any(c in word for c in "/=@\\") or "." in word and not word[0].islower()):
         return False
@@ -180,11 +198,11 @@ def units(text: str) -> list[tuple[int, int]]:
         start, stop = p.start(), p.end()
         while stop > start and text[stop - 1].isspace():
             stop -= 1
-        events = [m.span() for m in _EVENT.finditer(text, start, stop)]
+        events = [(*m.span(), m.lastgroup == "item") for m in _EVENT.finditer(text, start, stop)]
         pairs = _pairs(events, text)
         depth, past = 0, start
-        for a, b in events:
-            if a < past:
+        for a, b, item in events:
+            if a < past or item:
                 continue
             ends = False
             partner = pairs.get(a)

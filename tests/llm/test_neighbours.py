@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomtext.llm.neighbours import hilbert_keys, similar_vectors
 
@@ -77,3 +78,29 @@ def test_more_equal_keys_than_the_window(spark):
     hot = ids[:300]
     right = sum([got.get(i, {}).get(p) for p in range(1, 6)] == expected[i] for i in hot)
     assert right >= 0.99 * len(hot)
+
+
+@pytest.mark.parametrize("parts", [1, 12])
+def test_borders_repeated_ids_and_asking_rows(spark, parts):
+    """Isotropic vectors in many range partitions, of which only some rows ask; ids that occur with several vectors."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 16)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, rng.standard_normal(16).tolist()) for i in range(0, 3000, 50)]
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "id long, vec array<float>")
+        found = similar_vectors(df, "id", "vec", dim=16, k=5, curves=6, window=400, axes=6, bits=6, asks=F.col("id") % 10 == 1).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    got = {}
+    for r in found:
+        got.setdefault(r.item, {})[r.place] = r.other
+    kept = [i for i in range(3000) if i % 50]
+    expected = brute(kept, x[kept].astype(np.float64), 5, -1)
+    assert sorted(got) == list(range(1, 3000, 10)) and all(sorted(g) == [1, 2, 3, 4, 5] for g in got.values())
+    sure = {i: [o for o in got[i].values() if o % 50] for i in got}
+    missed = sum(len(set(expected[i][: len(sure[i])]) - set(sure[i])) for i in got)
+    assert missed <= 0.05 * 5 * len(got)

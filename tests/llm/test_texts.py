@@ -55,6 +55,33 @@ def test_sentences(marked):
     assert [text[a:b] for a, b in units(text)] == [p.strip() for p in marked.split("|")]
 
 
+def test_list_levels():
+    texts = {
+        "Steps:\n1. Use it\n2. Then stop": ["Steps:\n1. Use it\n2. Then stop"],
+        "Steps:\n1. Use it.\n2. Then stop.": ["Steps:\n1. Use it.", "2. Then stop."],
+        "- A (one, two\n- B two. C (it. is) so. D.": ["- A (one, two\n- B two.", "C (it. is) so.", "D."],
+        "- A (one.\n  - sub\n  here) on. Next.": ["- A (one.\n  - sub\n  here) on.", "Next."],
+        "Er schrieb „- eins.\n- zwei.“ und ging.": ["Er schrieb „- eins.\n- zwei.“ und ging."],
+        "Tak np. ten. Por. rys. 2 itd. Koniec.": ["Tak np. ten.", "Por. rys. 2 itd.", "Koniec."],
+        "Siehe Abs. 2 dort. Ende.": ["Siehe Abs. 2 dort.", "Ende."],
+    }
+    for text, expected in texts.items():
+        assert [text[a:b] for a, b in units(text)] == expected
+
+
+def test_linear_time():
+    import time
+
+    def took(text):
+        start = time.perf_counter()
+        units(text)
+        return time.perf_counter() - start
+
+    for part in ("“ab ", "»x ", "(a. ", '„b "c ', "A.B.C.", "- (x\n", "’ ‘ "):
+        small, large = (min(took(part * n) for _ in range(2)) for n in (2000, 16000))
+        assert large < 40 * small + 0.2, part
+
+
 def test_paragraphs():
     text = "  Title here\n\nOne line\ngoes on. Two.\n \n\r\n(unclosed quote \" here. Next.\r\n\r\nLast "
     assert [text[a:b] for a, b in units(text)] == ["Title here", "One line\ngoes on.", "Two.", '(unclosed quote " here.', "Next.", "Last"]
