@@ -80,8 +80,7 @@ def test_more_equal_keys_than_the_window(spark):
     assert right >= 0.99 * len(hot)
 
 
-@pytest.mark.parametrize("parts", [1, 12])
-def test_borders_repeated_ids_and_asking_rows(spark, parts):
+def test_borders_repeated_ids_and_asking_rows(spark, parts=12):
     """Isotropic vectors in many range partitions, of which only some rows ask; ids that occur with several vectors."""
     rng = np.random.default_rng(8)
     x = rng.standard_normal((3000, 16)).astype(np.float32)

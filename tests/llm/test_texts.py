@@ -62,7 +62,7 @@ def test_list_levels():
         "- A (one, two\n- B two. C (it. is) so. D.": ["- A (one, two\n- B two.", "C (it. is) so.", "D."],
         "- A (one.\n  - sub\n  here) on. Next.": ["- A (one.\n  - sub\n  here) on.", "Next."],
         "Er schrieb „- eins.\n- zwei.“ und ging.": ["Er schrieb „- eins.\n- zwei.“ und ging."],
-        "Tak np. ten. Por. rys. 2 itd. Koniec.": ["Tak np. ten.", "Por. rys. 2 itd.", "Koniec."],
+        "Tak np. ten. Patrz rys. 2 itd. Koniec.": ["Tak np. ten.", "Patrz rys. 2 itd.", "Koniec."],
         "Siehe Abs. 2 dort. Ende.": ["Siehe Abs. 2 dort.", "Ende."],
     }
     for text, expected in texts.items():
