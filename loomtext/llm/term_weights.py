@@ -23,8 +23,9 @@ def term_weights(postings: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataF
     length = written(rows.groupBy("doc_id").agg(F.sum("tf").alias("length"), F.count("*").alias("terms")), "weights-lengths")
     frequency = written(rows.groupBy("term").agg(F.count("*").alias("df")), "weights-frequency")
     whole = length.agg(F.count("*").alias("n"), F.avg("length").alias("average"))
-    # neither a term in most documents nor a document with most terms meets one task
-    parts = join_per_key(join_per_key(rows, frequency, ["term"], "df"), length, ["doc_id"], "terms").crossJoin(F.broadcast(whole))
+    # neither a term in most documents nor a document with most terms meets one task; one join is done before the other begins
+    sized = written(join_per_key(rows, length, ["doc_id"], "terms").select("doc_id", "term", "tf", "length"), "weights-sized")
+    parts = join_per_key(sized, frequency, ["term"], "df").crossJoin(F.broadcast(whole))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturation = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average"))
     return parts.select("doc_id", "term", "tf", "df", "length", (idf * F.col("tf") * (k1 + 1) / saturation).alias("weight"))
