@@ -45,7 +45,8 @@ _CLOSES = {v: k for k, v in _PAIRS.items()}
 _BRACKETS = set("(（[［【")
 _TRAILING = "\"”’»)）]］】」』》“*_`"
 _THAI = "ก-ฺเ-๎"
-_EVENT = re.compile(rf"(?P<item>(?<=\n)[^\S\n]*(?:[-*•–]|\d+[.)])[^\S\n]+(?=\S))|[.!?…。！？।॥؟۔]+|[\"“”„«»‘’「」『』《》()（）\[\]［］【】]|(?<=[{_THAI}])[  ]+(?=[{_THAI}])")
+_EVENT = re.compile(rf"[.!?…。！？।॥؟۔]+|[\"“”„«»‘’「」『』《》()（）\[\]［］【】]|(?<=[{_THAI}])[  ]+(?=[{_THAI}])")
+_ITEM = re.compile(r"\n[^\S\n]*(?:[-*•–]|\d+[.)])[^\S\n]+(?=\S)")
 _PARAGRAPH = re.compile(r"\S(?:.|\n(?![^\S\n]*\n))*")
 _FULL = set("。！？।॥؟۔")
 _OPENERS = re.compile(r"(?:[*_`~]+(?=\S)|[\"“„«‘「『《(（\[¿¡]\s*)*")
@@ -82,6 +83,16 @@ def _abbreviation(text: str, start: int, stop: int, trie: dict, cased: bool = Fa
     return False
 
 
+def _events(text: str, start: int, stop: int) -> list[tuple[int, int, bool]]:
+    """``(start, end, item)`` of every event of a paragraph in order; the mark of a list item is one, whatever it consists of."""
+    events = [(*m.span(), False) for m in _EVENT.finditer(text, start, stop)]
+    items = [(m.start() + 1, m.end(), True) for m in _ITEM.finditer(text, start, stop)] if text.find("\n", start, stop) >= 0 else []
+    if not items:
+        return events
+    inside = {i for a, b, _ in items for i in range(a, b)}
+    return sorted([*items, *(e for e in events if e[0] not in inside)])
+
+
 def _pairs(events: list[tuple[int, int, bool]], text: str) -> dict[int, int]:
     """Start of each opening mark to that of its closing mark and back; marks without partner are in neither."""
     stack: list[tuple[str, int]] = []  # a mark and its place, or "item" and the width before its mark
@@ -198,7 +209,7 @@ def units(text: str) -> list[tuple[int, int]]:
         start, stop = p.start(), p.end()
         while stop > start and text[stop - 1].isspace():
             stop -= 1
-        events = [(*m.span(), m.lastgroup == "item") for m in _EVENT.finditer(text, start, stop)]
+        events = _events(text, start, stop)
         pairs = _pairs(events, text)
         depth, past = 0, start
         for a, b, item in events:
