@@ -229,8 +229,9 @@ def evidence(keyed: DataFrame, share: float = SHARE, least_pages: int = 8) -> Da
     share of pages, of which a site has at most its lines per page over that share.
     """
     once = keyed.groupBy("site", "same").agg(F.min(F.struct("at", "page_id")).alias("p")).groupBy("site", "p.at").agg(F.min("p.page_id").alias("page_id"))
+    once = written(once.select("site", "page_id"), "page-once")
     seen = keyed.join(once.select("page_id"), "page_id", "left_semi")
-    sites = written(seen.groupBy("site").agg(F.count("*").alias("n")), "page-sites")
+    sites = written(once.groupBy("site").agg(F.count("*").alias("n")), "page-sites")
     entry = lambda c, mark: F.transform(c, lambda k: F.struct(k.alias("key"), F.lit(mark).alias("mark")))
     every = F.array_distinct(F.concat(entry("keys", False), entry("marks", True), entry("items", False)))
     shown = seen.select("site", F.explode(every).alias("k")).select("site", "k.key", "k.mark").where("key <> 0")
